@@ -1,8 +1,8 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from lectern.llm import queries_bpe, queries_mixing, queries_secrets, queries_simhash
+from lectern.llm import queries_bpe, queries_mixing, queries_pii, queries_secrets, queries_simhash
 
-_modules = [queries_mixing, queries_simhash, queries_bpe, queries_secrets]
+_modules = [queries_pii, queries_mixing, queries_simhash, queries_bpe, queries_secrets]
 
 QUERIES = {name: query for m in _modules for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _modules for name, sql in m.ORACLE_SQL.items()}
