@@ -1,8 +1,17 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from lectern.llm import queries_bpe, queries_mixing, queries_pii, queries_secrets, queries_simhash, queries_toxicity
+import corpus_pipeline
+from lectern.llm import (
+    queries_bpe,
+    queries_fingerprint,
+    queries_mixing,
+    queries_pii,
+    queries_secrets,
+    queries_simhash,
+    queries_toxicity,
+)
 
-_modules = [queries_toxicity, queries_pii, queries_mixing, queries_simhash, queries_bpe, queries_secrets]
+_modules = [queries_toxicity, queries_pii, queries_mixing, queries_simhash, queries_bpe, queries_fingerprint, queries_secrets]
 
-QUERIES = {name: query for m in _modules for name, query in m.QUERIES.items()}
+QUERIES = {"pipeline": corpus_pipeline.run} | {name: query for m in _modules for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _modules for name, sql in m.ORACLE_SQL.items()}
