@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lectern.plans import documents, typography
+
+_modules = [typography, documents]
+
+QUERIES = {name: query for m in _modules for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _modules for name, sql in m.ORACLE_SQL.items()}

@@ -1,0 +1 @@
+"""Sources: document archives, compound files and equation objects."""
