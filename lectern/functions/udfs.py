@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.formulas import omml as office_math
 from lectern.formulas.mtef import Decoder, Truncated
 from lectern.formulas.render import Latex, MathML, spaced, validated
 from lectern.sources.compound import equation_bytes
@@ -58,3 +59,20 @@ def latex_spacing(latex: Column) -> Column:
         return values.map(spaced, na_action="ignore")
 
     return run(latex)
+
+
+def omml(xml: Column, display: bool = False) -> Column:
+    """``struct<latex, mathml, error>`` of a fragment of office markup."""
+
+    @F.pandas_udf("latex string, mathml string, error string")
+    def run(values: pd.Series) -> pd.DataFrame:
+        rows = []
+        for v in values:
+            try:
+                el = None if v is None else office_math.parse(v)
+                rows.append((None, None, None) if el is None else (office_math.to_latex(el, display), office_math.to_mathml(el, display), None))
+            except (ValueError, SyntaxError) as broken:
+                rows.append((None, None, str(broken)))
+        return pd.DataFrame(rows, columns=["latex", "mathml", "error"])
+
+    return run(xml)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import corpus, documents, typography
+from lectern.plans import corpus, documents, formulas, typography
 
-_modules = [typography, documents, corpus]
+_modules = [typography, documents, corpus, formulas]
 
 QUERIES = {name: query for m in _modules for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _modules for name, sql in m.ORACLE_SQL.items()}
