@@ -49,8 +49,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, ma
 
     Sorted by cap over weight, the sources that end at their cap are a prefix:
     a source belongs to it while its cap over weight is at most what a unit of
-    weight would get from what the earlier caps leave.  The windows run over
-    one row per source.
+    weight would get from what the earlier caps leave.  What it gets at the
+    first source beyond the prefix, the most of all beyond it, is the level.  The
+    windows run over one row per source.
     """
     n = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
     cycle = F.array(*[F.lit(int(w)) for w in weights])
@@ -67,7 +68,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, ma
         .withColumn("weight_left", F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0)))
         .withColumn("unit", (F.col("total") - F.col("cap_before")) / F.col("weight_left"))
         .withColumn("capped", F.col("cap") / F.col("weight") <= F.col("unit"))
-        .withColumn("level", F.min(F.when(~F.col("capped"), F.col("unit"))).over(everything))
+        .withColumn("level", F.max(F.when(~F.col("capped"), F.col("unit"))).over(everything))
     )
     target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("level"))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeat)))).otherwise(F.lit(0.0))

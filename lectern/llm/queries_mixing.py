@@ -37,7 +37,7 @@ measured AS (
 ), targeted AS (
   SELECT source, source_size,
          CASE WHEN capped THEN cap::DOUBLE
-              ELSE weight::DOUBLE * (SELECT min(unit) FROM marked WHERE NOT capped) END AS target
+              ELSE weight::DOUBLE * (SELECT max(unit) FROM marked WHERE NOT capped) END AS target
   FROM marked
 ), rated AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size::DOUBLE, 2.0) ELSE 0.0 END AS rate FROM targeted
