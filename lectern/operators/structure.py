@@ -10,7 +10,7 @@ from lectern.functions.html import tag_free
 from lectern.functions.jsregex import FOLD, SPACE
 from lectern.functions.typography import collapse_white_space
 from lectern.operators import metadata
-from lectern.operators.captions import claimed_captions, ordered
+from lectern.operators.captions import claimed_captions, ordered, running
 
 # Where the body of a paragraph begins after a merged caption, and the least it must have.
 BODY_MARKERS = rf"\.{SPACE}+(?:[АA]{SPACE}+именно|Здесь|Видно)(?=[\s,;:.!?]|$)"
@@ -110,3 +110,27 @@ def unstyled_preamble(blocks: DataFrame, key: str = "doc", idx: str = "idx") ->
         key, F.when(X.true(russian), F.col("title")).alias("title_ru"), F.when(~X.true(russian), F.col("title")).alias("title_en"),
         metadata.parse_authors(F.coalesce("author_line", F.lit(""))).alias("authors"), "affiliation", "email", F.array_join("pieces.text", "\n\n").alias("abstract"),
     )
+
+
+def inline_formula_spacing(before: Column, after: Column) -> Column:
+    """``struct<left, right>``: the blanks that a formula within a sentence needs towards its neighbours' text."""
+    word = r"[\p{L}\p{N}]"
+    left = F.when(X.true(before.rlike(rf"(?:{word}|[)\]}},;:])$")), " ").otherwise("")
+    right = F.when(X.true(after.rlike(rf"^(?:{word}|[(\[{{])")), " ").otherwise("")
+    return F.struct(left.alias("left"), right.alias("right"))
+
+
+def is_figure_table(html: Column) -> Column:
+    """A table of four cells at most, with an image and a figure's label, is a figure."""
+    cells = F.regexp_count(html, F.lit(r"(?i)<t[dh]\b"))
+    text = tag_free(F.regexp_replace(html, r"(?i)</t[dh]>|<br\s*/?>", " "))
+    labelled = text.rlike(FOLD + RUSSIAN_FIGURE) | X.is_strict_english_figure(html, text)
+    return X.true(html.rlike(r"(?i)<table\b") & (cells <= 4) & html.rlike(r"(?i)<img\b") & labelled)
+
+
+def without_caption_list(blocks: DataFrame, key: str = "doc", idx: str = "idx") -> DataFrame:
+    """The document without the list of captions at its end: the line that announces it, and captions and blank rows after it."""
+    marker = X.true(F.col("text").rlike(rf"{FOLD}^(?:подписи{SPACE}+к{SPACE}+рисункам|figure{SPACE}+captions?|captions?{SPACE}+to{SPACE}+figures?){SPACE}*[.:]?{SPACE}*$"))
+    seen = F.max(marker.cast("int")).over(running(key, idx)) == 1
+    listed = marker | ((F.col("kind") == "paragraph") & ((F.col("text") == "") | X.is_caption_of_block(F.col("text"))))
+    return blocks.withColumn("__gone", seen & listed).where(~F.col("__gone")).drop("__gone")

@@ -56,9 +56,31 @@ def unstyled_preamble(spark, sf_dir):
     return found.select("doc", "title_ru", "title_en", F.array_join("authors.surname", ",").alias("surnames"), "affiliation", "email", F.length("abstract").cast("long").alias("n_abstract"))
 
 
-QUERIES = {f.__name__: f for f in (bilingual_captions, merged_captions, table_captions, placed_figures, uppercase_headings, equation_tables, unstyled_preamble)}
+def formula_spacing(spark, sf_dir):
+    pick = lambda i, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("c_custkey") % i + 1).cast("int"))
+    s = S.inline_formula_spacing(pick(3, "word", "(", "x,"), pick(4, "next", ", and", ")", "(a"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("["), s["left"], F.lit("|"), s["right"], F.lit("]")).alias("spacing"))
+
+
+def figure_tables(spark, sf_dir):
+    cells = F.concat(F.lit('<table><tr><td><img src="a"></td>'), F.repeat(F.lit("<td>x</td>"), (F.col("c_custkey") % 5).cast("int")), F.when(F.col("c_custkey") % 2 == 0, "<td>Рис. 1. A</td>").otherwise("<td>A</td>"), F.lit("</tr></table>"))
+    return table(spark, sf_dir, "customer").select("c_custkey", S.is_figure_table(cells).alias("figure"))
+
+
+def caption_list_removed(spark, sf_dir):
+    """Documents of orders, with the announcing line at the first order divisible by ten."""
+    rows = derived(spark, sf_dir, BLOCKS).withColumn("text", F.when(F.col("idx") % 10 == 0, "Подписи к рисункам").otherwise(F.col("text")))
+    return S.without_caption_list(rows).groupBy("doc").agg(F.count("*").alias("n"), F.sum("idx").alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (formula_spacing, figure_tables, caption_list_removed, bilingual_captions, merged_captions, table_captions, placed_figures, uppercase_headings, equation_tables, unstyled_preamble)}
 
 ORACLE_SQL = {
+    "formula_spacing": "SELECT c_custkey, concat('[', CASE WHEN c_custkey % 3 IN (0, 2) THEN ' ' ELSE '' END, '|', CASE WHEN c_custkey % 4 IN (0, 3) THEN ' ' ELSE '' END, ']') AS spacing FROM customer",
+    "figure_tables": "SELECT c_custkey, c_custkey % 2 = 0 AND c_custkey % 5 <= 2 AS figure FROM customer",
+    "caption_list_removed": f"""WITH b AS ({duck(BLOCKS)}), t AS (SELECT doc, idx, kind, CASE WHEN idx % 10 = 0 THEN 'mark' ELSE text END AS text FROM b),
+  s AS (SELECT *, max((text = 'mark')::INT) OVER (PARTITION BY doc ORDER BY idx ROWS UNBOUNDED PRECEDING) AS seen FROM t)
+SELECT doc, count(*) AS n, sum(idx)::BIGINT AS total FROM s WHERE NOT (seen = 1 AND (text = 'mark' OR (kind = 'paragraph' AND (text = '' OR text LIKE 'Рис.%' OR text LIKE 'Fig.%')))) GROUP BY doc""",
     "bilingual_captions": """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 IN (0, 1) THEN concat('Рис. ', o_custkey::VARCHAR, '. Схема') WHEN o_orderkey % 5 = 2 THEN concat('Рис. ', o_custkey::VARCHAR, '. Схема.') END AS ru,
   CASE o_orderkey % 5 WHEN 0 THEN concat('Fig. ', o_custkey::VARCHAR, '. Scheme') WHEN 1 THEN concat('<strong>Fig. ', o_custkey::VARCHAR, '</strong> Scheme') WHEN 2 THEN 'Fig. 7. Scheme' END AS en FROM orders""",
     "merged_captions": f"""WITH d AS ({duck(MERGED)}) SELECT doc, idx, 0 AS part, style_type, CASE WHEN idx % 3 = 0 THEN replace(text, ' Здесь показан опыт', '') ELSE text END AS text FROM d
