@@ -1,7 +1,8 @@
 """Shared scratch space: where plans that must cut their lineage write tables.
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
-that setting is absent (local tests) a temporary folder takes its place.
+that setting is absent (local tests) a temporary folder takes its place.  Tables
+stay until the owner of the folder clears it, as results read later start at them.
 """
 
 from __future__ import annotations
@@ -42,10 +43,3 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a scratch table through the file system that holds it."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
