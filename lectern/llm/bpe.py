@@ -58,12 +58,11 @@ class Node:
 class State:
     """``live``: the ends from which a token may still go on, in order; ``root``: where all their chains begin."""
 
-    __slots__ = ("final", "live", "moves", "pending", "root")
+    __slots__ = ("live", "moves", "pending", "root")
 
     def __init__(self, pending: bytes, live: list[Node], root: Node):
         self.pending, self.live, self.root = pending, live, root
         self.moves: dict[int, tuple[State, tuple[int, ...]]] = {}
-        self.final: tuple[int, ...] | None = None
 
 
 def tokens_after(root: Node, node: Node) -> tuple[int, ...]:
@@ -85,7 +84,7 @@ class Transducer:
     #: Liveness looks at each longer token if there are so few; else it takes one of them to fit, which is safe.
     FEW = 6
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 120_000):
         self.ranks, self.max_states = ranks, max_states
         self.token = {v: k for k, v in ranks.items()}
         self.open: dict[bytes, list[int]] = {}
@@ -126,7 +125,7 @@ class Transducer:
         """Can ``left`` and ``right`` be neighbours?  Of merges of equal rank the leftmost comes first."""
         key = (left, right)
         if (known := self.fits.get(key)) is None:
-            if len(self.fits) > 4 * self.max_states:
+            if len(self.fits) > 3 * self.max_states:
                 self.fits.clear()
             known, rank_of, rights = True, self.ranks.get, self.spine(right, False)
             for a, until_a in self.spine(left, True):
@@ -152,13 +151,17 @@ class Transducer:
                 return True
         return False
 
-    def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        pending = state.pending + bytes((byte,))
+    def end_of(self, state: State, pending: bytes) -> Node:
+        """The last token of what ``pending`` makes of the input."""
         for node in state.live:
             token = self.ranks.get(pending[node.at :])
             if token is not None and (node.token < 0 or self.fit(node.token, token)):
-                cut = end = Node(token, len(pending), node)
-                break
+                return Node(token, len(pending), node)
+        raise ValueError(f"the vocabulary has no token for the byte {pending[-1:]!r}")
+
+    def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
+        pending = state.pending + bytes((byte,))
+        cut = end = self.end_of(state, pending)
         live = []
         for node in state.live:
             if self.extends(node.token, pending[node.at :]):
@@ -184,7 +187,7 @@ class Transducer:
         if len(self.states) > self.max_states:
             self.reset()
         state, out = self.start, []
-        for byte in piece:
+        for byte in piece[:-1]:
             move = state.moves.get(byte)
             if move is None:
                 if len(self.states) > 2 * self.max_states:
@@ -193,38 +196,42 @@ class Transducer:
             state, emitted = move
             if emitted:
                 out += emitted
-        if state.final is None:
-            state.final = tokens_after(state.root, state.live[-1])
-        out += state.final
+        if piece:  # nothing follows the last byte, so no state is made for it
+            out += tokens_after(state.root, self.end_of(state, state.pending + piece[-1:]))
         return out
 
 
 class Codec:
     """Splits texts by ``pattern`` and runs each piece through the transducer."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cached_pieces: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached_pieces: int = 150_000):
         self.machine = Transducer(ranks)
         self.pieces = regex.compile(pattern)
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.digits = [str(i) for i in range(len(self.bytes_of))]
-        self.known: dict[str, list[int]] = {}
+        # Pieces met lately, in two generations: the older one is dropped when the younger is full.
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.cached_pieces = cached_pieces
 
-    def piece_ids(self, piece: str) -> list[int]:
-        ids = self.machine.encode(piece.encode("utf-8"))
-        if len(piece) <= 40:
-            if len(self.known) >= self.cached_pieces:
-                self.known.clear()
-            self.known[piece] = ids
+    def piece_ids(self, piece: str) -> tuple[int, ...]:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = tuple(self.machine.encode(piece.encode("utf-8")))
+            if len(piece) > 40:
+                return ids
+        if len(self.known) >= self.cached_pieces:
+            self.known, self.older = {}, self.known
+        self.known[piece] = ids
         return ids
 
     def encode_blocks(self, text: str):
         """The ids of ``text``, some thousands of pieces at a time."""
-        known = self.known
         found = (m.group() for m in self.pieces.finditer(text)) if len(text) > 200_000 else iter(self.pieces.findall(text))
         while block := list(islice(found, BLOCK)):
+            known = self.known
             yield list(chain.from_iterable([known.get(p) or self.piece_ids(p) for p in block]))
 
     def encode(self, text: str | None) -> list[int]:

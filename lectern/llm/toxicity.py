@@ -49,7 +49,7 @@ DECAY, ORDER = 0.5, 3
 LONG, STEP = 24, 12
 GRAMS = (4, 5, 6)
 FOLDS = 5
-MAX_SCORED = 400_000
+MAX_SCORED = 150_000
 #: The margin of a text without strings.
 LOWEST = -2.0
 #: How many letter runs may explain one toxic document.
