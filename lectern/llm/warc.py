@@ -12,8 +12,8 @@ more, the earliest (then the one with the smallest page number) stays; others
 become ``revisit`` records that name it and keep their HTTP head only.
 
 Files are written by Spark's text sink, a record a row, with the formats' own
-record ends as line ends, so they land on whatever file system the path names.
-A file has at most ``PER_FILE`` records, so that reading one takes bounded
+record ends as line ends, so they land on whatever file system the path names;
+they are compressed, and files are read compressed or not.  A file has at most ``PER_FILE`` records, so that reading one takes bounded
 memory.
 
 Defined results: a null html is an empty payload; a null url becomes a
@@ -26,6 +26,7 @@ columns are ignored.
 from __future__ import annotations
 
 import datetime
+import gzip
 import hashlib
 import re
 import uuid
@@ -100,9 +101,14 @@ def parse_arc(data: bytes):
         yield record, content
 
 
-def head_and_payload(content: bytes, url: str) -> tuple[bytes, bytes]:
+def inflated(data: bytes) -> bytes:
+    """The content of a file, whether it is compressed (as one member or a member a record) or not."""
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
+def head_and_payload(content: bytes) -> tuple[bytes, bytes]:
     """An HTTP message apart; anything else is all payload."""
-    if url.startswith(("http://", "https://")) and content.startswith(b"HTTP/"):
+    if content.startswith(b"HTTP/"):
         head, mark, payload = content.partition(b"\r\n\r\n")
         if mark:
             return head + mark, payload
@@ -140,11 +146,11 @@ def read_arc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
         for batch in batches:
             for value in batch.column(0):
                 rows = []
-                for record, content in parse_arc(value.as_py()):
+                for record, content in parse_arc(inflated(value.as_py())):
                     if "error" in record:
                         rows.append({"error": record["error"]})
                     elif not record["url"].startswith("filedesc:"):
-                        head, body = head_and_payload(content, record["url"])
+                        head, body = head_and_payload(content)
                         digest, page = hashlib.sha256(body).hexdigest(), header_of(head, "X-Page-Id")
                         key = f"{record['url']} {record['date']} {page} {digest}"
                         rows.append({
@@ -177,7 +183,7 @@ def write_records(rows: DataFrame, render, opening, path: str, end: str) -> None
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     records = rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", end).option("maxRecordsPerFile", PER_FILE + 1).text(path)
+    records.write.option("lineSep", end).option("maxRecordsPerFile", PER_FILE + 1).option("compression", "gzip").text(path)
 
 
 def write_arc(pages: DataFrame, path: str, version: str = "2") -> None:
@@ -257,14 +263,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for value in batch.column(0):
                 rows = []
-                for headers, block in parse_warc(value.as_py()):
+                for headers, block in parse_warc(inflated(value.as_py())):
                     if "error" in headers:
                         rows.append({"error": headers["error"]})
                         continue
                     kind = headers.get("warc-type")
                     if kind == "warcinfo":
                         continue
-                    head, payload = head_and_payload(block, headers.get("warc-target-uri", "")) if kind != "resource" else (b"", block)
+                    head, payload = head_and_payload(block) if kind != "resource" else (b"", block)
                     digest, page = headers.get("warc-payload-digest", "").removeprefix("sha256:"), header_of(head, "X-Page-Id")
                     size = len(payload) if kind != "revisit" else int(header_of(head, "Content-Length") or 0)
                     wrong = kind != "revisit" and hashlib.sha256(payload).hexdigest() != digest
