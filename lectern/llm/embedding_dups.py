@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from lectern.llm.components import connected_components
 from lectern.storage import materialize
 
-COSINE, RECALL = 0.9, 0.998
-SAMPLE, PER_CELL, CODEWORDS = 20_000, 128, 256
+COSINE, RECALL = 0.9, 0.98
+SAMPLE, PER_CELL, CODEWORDS = 20_000, 640, 256
 #: Residents of a cell that are compared as one block, and rows of a comparison at a time.
 FULL, ROWS = 8_192, 2_048
 
@@ -158,8 +158,8 @@ def distance(index: Index, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return a[rows, goal // k] + b[rows, goal % k]
 
 
-def by_length(ids, vectors):
-    """Batches of one dimension each: (ids, comparable vectors at length 1); the rest is left out."""
+def by_length(ids, vectors, raw: bool = False):
+    """Batches of one dimension each: (dimension, ids, comparable vectors at length 1, their bytes as stored if ``raw``); the rest is left out."""
     of: dict[int, tuple[list, list]] = {}
     for i, v in zip(ids.to_pylist(), vectors, strict=True):
         if i is not None and v.is_valid and len(values := v.values) and not values.null_count:
@@ -169,7 +169,8 @@ def by_length(ids, vectors):
     for length, (own, rows) in sorted(of.items()):
         good, x = normalized(rows)
         if len(good):
-            yield length, np.array(own, np.int64)[good], x
+            found = length, np.array(own, np.int64)[good], x
+            yield (*found, [rows[i].tobytes() for i in good.tolist()]) if raw else found
 
 
 class Forest:
@@ -236,12 +237,13 @@ FOUND = "a long, n long, b long"
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """``vec_id, n_links, component_id, kept``: one row per vector."""
     single = vectors.select(F.col("vec_id").cast("long"), "embedding").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    stored = materialize(single, "vectors")
-    total = stored.count()
-    sample = stored.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow().combine_chunks()
+    table = materialize(single, "vectors")
+    total = table.count()
+    sample = table.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow().combine_chunks()
     parts = {length: x for length, _, x in by_length(sample.column("vec_id"), sample.column("embedding"))}
     indexes = {length: build(x, total * len(x) // max(1, sum(map(len, parts.values()))), cosine, recall) for length, x in parts.items()}
     spread = 1 << 24
+    stored = np.float32 if single.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
 
     def index_of(length: int) -> Index:
         return indexes.get(length) or Index(Half(np.zeros((1, length // 2))), Half(np.zeros((1, length - length // 2))))
@@ -253,11 +255,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
                 yield pa.RecordBatch.from_arrays([pa.array(length * spread + cell), pa.array(n)], names=["cell", "n"])
 
     # At most one row a cell of the grids, CODEWORDS squared of them.
-    full = {r[0]: -(-r[1] // FULL) for r in stored.mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > FULL).collect()}
+    full = {r[0]: -(-r[1] // FULL) for r in table.mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > FULL).collect()}
 
     def deal(batches):
         for batch in batches:
-            for length, ids, x in by_length(batch.column(0), batch.column(1)):
+            for length, ids, x, raw in by_length(batch.column(0), batch.column(1), raw=True):
                 home, rows, visited = index_of(length).visits(x)
                 home, visited = home + length * spread, visited + length * spread
                 parts_of = np.array([full.get(c, 1) for c in home.tolist()])
@@ -277,23 +279,23 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
                 for k in range(0, len(keys), 20_000):
                     own = at[k : k + 20_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[k : k + 20_000]), pa.array(roles[k : k + 20_000]), pa.array(ids[own]), pa.array([row.tobytes() for row in x[own]], pa.binary())],
+                        [pa.array(keys[k : k + 20_000]), pa.array(roles[k : k + 20_000]), pa.array(ids[own]), pa.array([raw[i] for i in own.tolist()], pa.binary())],
                         names=["key", "role", "id", "x"],
                     )
 
     def meet(batches):
-        for residents, visitors in blocks(batches):
+        for residents, visitors in blocks(batches, stored):
             for a, n, b in compare(*residents, visitors, cosine):
                 if len(a):
                     b = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n), b], names=["a", "n", "b"])
 
-    dealt = stored.mapInArrow(deal, "key long, role byte, id long, x binary").repartition("key").sortWithinPartitions("key", "role")
+    dealt = table.mapInArrow(deal, "key long, role byte, id long, x binary").repartition("key").sortWithinPartitions("key", "role")
     found = materialize(dealt.mapInArrow(meet, FOUND), "vector-links")
     links = found.groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
     components = connected_components(found.where(F.col("b").isNotNull()).select("a", "b"), "vectors")
     return (
-        stored.select("vec_id")
+        table.select("vec_id")
         .join(links, "vec_id", "left")
         .join(components.withColumnRenamed("node", "vec_id"), "vec_id", "left")
         .select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
@@ -301,9 +303,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     )
 
 
-def blocks(batches):
+def blocks(batches, stored):
     """Blocks of rows sorted by key and role: the residents at once, what visits them as it comes."""
-    flat = ((key, role, i, x) for batch in batches for key, role, i, x in _runs(batch))
+    flat = ((key, role, i, x) for batch in batches for key, role, i, x in _runs(batch, stored))
     now = next(flat, None)
     while now is not None:
         key, ids, xs = now[0], [], []
@@ -326,7 +328,7 @@ def blocks(batches):
         now = state["next"]
 
 
-def _runs(batch):
+def _runs(batch, stored):
     """(key, role, ids, vectors) of rows in a row, at most ``ROWS`` at a time."""
     if not batch.num_rows:
         return
@@ -336,5 +338,5 @@ def _runs(batch):
     for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
         for at in range(start, end, ROWS):
             to = min(end, at + ROWS)
-            x = np.frombuffer(b"".join(v.as_py() for v in xs[at:to]), np.float64).reshape(to - at, -1)
-            yield int(keys[at]), int(roles[at]), ids[at:to], x
+            x = np.frombuffer(b"".join(v.as_py() for v in xs[at:to]), stored).reshape(to - at, -1)
+            yield int(keys[at]), int(roles[at]), ids[at:to], normalized(x)[1]
