@@ -49,7 +49,9 @@ from lectern.storage import materialize
 LEAST, ANCHOR = 50, 10
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Suffixes with one anchor that a task sorts together; those of a larger group are matched window by window.
-FULL = 5_000
+FULL = 50_000
+#: Suffixes, of many anchors, that are compared at a time.
+TOGETHER = 20_000
 
 
 def word_codes(text: str | None) -> np.ndarray:
@@ -175,16 +177,17 @@ def union_of(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR) -> DataFrame:
-    """``doc_id, start, end, n_words, first_doc_id``: passages of ``least`` words or more that another document has, too.
+    """``doc_id, start_word, end_word, n_words, first_doc_id``: passages of ``least`` words or more that another document has, too.
 
-    ``start`` and ``end`` (exclusive) count code points of the text;
-    ``first_doc_id`` is the smallest doc_id found to share a part of it.
+    Words are counted from 0, ``end_word`` is exclusive; ``first_doc_id`` is the
+    smallest doc_id found to share a part of the passage.  Texts are shuffled
+    once, to meet the places that were found worth comparing.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    keyed = materialize(texts.select("doc_id", "text", F.sha2("text", 256).alias("sha")), "repeats-texts")
-    leads = materialize(keyed.groupBy("sha").agg(F.min("doc_id").alias("lead"), (F.min("doc_id") < F.max("doc_id")).alias("copied")), "repeats-leads")
-    mine = keyed.join(leads, "sha").where(F.col("doc_id") == F.col("lead")).dropDuplicates(["doc_id", "sha"]).select("doc_id", "text", "copied")
-    mine = materialize(mine, "repeats-distinct")
+    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("sha")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    words = F.regexp_count("text", F.lit(WORD.pattern)).cast("long")
+    ids = materialize(texts.select("doc_id", "sha", words.alias("n")).distinct(), "repeats-ids")
+    leads = ids.groupBy("sha", "n").agg(F.min("doc_id").alias("lead"), (F.min("doc_id") < F.max("doc_id")).alias("copied"))
+    leads = materialize(leads, "repeats-leads")
 
     def select(batches):
         for batch in batches:
@@ -193,39 +196,37 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR)
                 at, hashes = _suffixes(word_codes(text.as_py()), least, anchor)
                 ids.append(np.full(len(at), i, np.int64))
                 keys.append(hashes.view(np.int64))
-                places.append(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, keys, places)], names=["doc_id", "anchor", "place"])
+                places.append(at.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, keys, places)], names=["sha", "anchor", "place"])
 
-    suffixes = materialize(mine.select("doc_id", "text").mapInArrow(select, "doc_id long, anchor long, place long"), "repeats-suffixes")
-    shared = suffixes.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where(F.col("low") < F.col("high"))
+    suffixes = materialize(texts.select("sha", "text").mapInArrow(select, "sha long, anchor long, place int"), "repeats-suffixes")
+    shared = suffixes.groupBy("anchor").agg(F.min("sha").alias("low"), F.max("sha").alias("high"), F.count("*").alias("n")).where(F.col("low") < F.col("high"))
     shared = materialize(shared.select("anchor", (F.col("n") > FULL).alias("full")), "repeats-anchors")
-    wanted = suffixes.join(shared, "anchor").groupBy("doc_id", "full").agg(F.collect_list("place").alias("places"))
-    wanted = materialize(wanted, "repeats-wanted")
+    of = lambda full: F.collect_set(F.when(F.col("full") == full, F.col("place")))
+    wanted = suffixes.join(shared, "anchor").groupBy("sha").agg(of(False).alias("places"), of(True).alias("full_places"))
+    wanted = materialize(wanted.join(leads.select("sha", "lead"), "sha").select(F.col("lead").alias("doc_id"), "sha", "places", "full_places"), "repeats-wanted")
 
     def surround(batches):
+        """Suffixes with the words around them; of full anchors, the hashes of the windows around them (and no words)."""
+        names = ["key", "doc_id", "place", "words"]
         for batch in batches:
-            for i, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                codes, at = word_codes(text.as_py()), np.sort(places.values.to_numpy(zero_copy_only=False))
+            for i, text, places, full in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), strict=True):
+                codes = word_codes(text.as_py())
+                at = np.sort(places.values.to_numpy(zero_copy_only=False)).astype(np.int64)
+                hashes = anchors(codes, anchor)[at].view(np.int64)
                 for k in range(0, len(at), 5_000):
                     part = at[k : k + 5_000]
-                    keys = anchors(codes, anchor)[part].view(np.int64)
-                    rows = _context(codes, part, least, anchor)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys), pa.array(np.full(len(part), i, np.int64)), pa.array(part), pa.array([r.tobytes() for r in rows], pa.binary())],
-                        names=["anchor", "doc_id", "place", "words"],
-                    )
-
-    def windows(batches):
-        for batch in batches:
-            for i, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                codes, at = word_codes(text.as_py()), places.values.to_numpy(zero_copy_only=False)
-                hashes = anchors(codes, least).view(np.int64)
-                starts = np.unique(at[:, None] - np.arange(least - anchor + 1))
-                starts = starts[(starts >= 0) & (starts < len(hashes))]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[starts]), pa.array(np.full(len(starts), i, np.int64)), pa.array(starts)], names=["window", "doc_id", "start"])
-
-    texts_with = lambda full: mine.select("doc_id", "text").join(wanted.where(F.col("full") == full).select("doc_id", "places"), "doc_id")
-    around = texts_with(False).mapInArrow(surround, "anchor long, doc_id long, place long, words binary")
+                    rows = pa.array([r.tobytes() for r in _context(codes, part, least, anchor)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[k : k + 5_000]), pa.array(np.full(len(part), i, np.int64)), pa.array(part), rows], names=names)
+                at = full.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                if len(at):
+                    hashes = anchors(codes, least).view(np.int64)
+                    starts = np.unique(at[:, None] - np.arange(least - anchor + 1))
+                    starts = starts[(starts >= 0) & (starts < len(hashes))]
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[starts]), pa.array(np.full(len(starts), i, np.int64)), pa.array(starts), pa.nulls(len(starts), pa.binary())], names=names)
+
+    chosen = texts.join(wanted, ["doc_id", "sha"]).dropDuplicates(["doc_id", "sha"]).select("doc_id", "text", "places", "full_places")
+    around = materialize(chosen.mapInArrow(surround, "key long, doc_id long, place long, words binary"), "repeats-around")
 
     def match(batches):
         for ids, places, words in sorted_groups(batches, 2 * least - anchor):
@@ -234,35 +235,33 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR)
             if on.any():
                 yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (ids, places - left, places + right, np.minimum(first, ids))], names=["doc_id", "start", "end", "first"])
 
-    dealt = around.repartition("anchor").sortWithinPartitions("anchor", "words")
+    dealt = around.where(F.col("words").isNotNull()).repartition("key").sortWithinPartitions("key", "words")
     found = dealt.mapInArrow(match, "doc_id long, start long, end long, first long")
-    if not shared.where("full").isEmpty():
-        single = materialize(texts_with(True).mapInArrow(windows, "window long, doc_id long, start long"), "repeats-windows")
-        common = single.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("high")).where(F.col("first") < F.col("high"))
-        found = found.union(single.join(common, "window").select("doc_id", "start", (F.col("start") + least).alias("end"), "first"))
-    per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "first")).alias("spans"))
-    spans = mine.join(per_doc, "doc_id", "left").where(F.col("spans").isNotNull() | F.col("copied"))
-
-    def place(batches):
+    windows = around.where(F.col("words").isNull()).drop("words")
+    common = windows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("high")).where(F.col("first") < F.col("high"))
+    found = found.union(windows.join(common, "key").select("doc_id", F.col("place").alias("start"), (F.col("place") + least).alias("end"), "first"))
+    found = materialize(found, "repeats-found")
+    # Texts of one doc_id that differ are told apart by their word count only; their passages then count for both.
+    whole = leads.where(F.col("copied") & (F.col("n") >= least)).select(F.col("lead").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.col("n").alias("end"), F.col("lead").alias("first"))
+    per_doc = found.union(whole).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "first")).alias("spans"))
+
+    def unite(batches):
         for batch in batches:
-            rows = {k: [] for k in ("lead", "start", "end", "n_words", "first_doc_id")}
-            for row in batch.to_pylist():
-                at = [m.span() for m in WORD.finditer(row["text"])]
-                whole = [(0, len(at), row["doc_id"])] if row["copied"] and len(at) >= least else []
-                own = [(s["start"], s["end"], s["first"]) for s in row["spans"] or ()]
-                for start, end, first in union_of(own + whole):
-                    for k, v in zip(rows, (row["doc_id"], at[start][0], at[end - 1][1], end - start, first), strict=True):
-                        rows[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in rows.values()], names=list(rows))
+            rows = [(i, *span) for i, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for span in union_of([(s["start"], s["end"], s["first"]) for s in spans])]
+            columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["lead", "start_word", "end_word", "first_doc_id"])
 
-    placed = materialize(spans.select("doc_id", "text", "copied", "spans").mapInArrow(place, "lead long, start long, end long, n_words long, first_doc_id long"), "repeats-placed")
-    owners = keyed.select("doc_id", "sha").distinct().join(leads.select("sha", "lead"), "sha")
-    return owners.join(placed, "lead").select("doc_id", "start", "end", "n_words", "first_doc_id")
+    united = per_doc.mapInArrow(unite, "lead long, start_word long, end_word long, first_doc_id long")
+    owners = ids.join(leads.select("sha", "n", "lead"), ["sha", "n"]).select("doc_id", "lead").distinct()
+    return owners.join(united, "lead").select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id")
 
 
 def sorted_groups(batches, width: int):
-    """(doc_ids, places, words) of each anchor, of rows sorted by it."""
-    key, parts = None, []
+    """(doc_ids, places, words) of rows that come sorted by anchor: some thousands of rows, the last anchor whole.
+
+    Anchors need not be told apart: their suffixes differ within the first words.
+    """
+    key, size, parts = None, 0, []
 
     def whole():
         ids, places, words = zip(*parts, strict=True)
@@ -274,26 +273,48 @@ def sorted_groups(batches, width: int):
             continue
         keys = batch.column(0).to_numpy(zero_copy_only=False)
         ids, places = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
-        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
-            if keys[start] != key:
-                if sum(len(p[0]) for p in parts) > 1:
-                    yield whole()
-                key, parts = keys[start], []
-            parts.append((ids[start:end], places[start:end], batch.column(3)[start:end].to_pylist()))
-    if sum(len(p[0]) for p in parts) > 1:
+        start = 0
+        if size >= TOGETHER or (size and keys[0] != key and size + len(keys) > 2 * TOGETHER):
+            ends = np.flatnonzero(keys != key)  # the anchor at hand may go on into this batch
+            start = int(ends[0]) if len(ends) else len(keys)
+            if start:
+                parts.append((ids[:start], places[:start], batch.column(3)[:start].to_pylist()))
+                size += start
+            if len(ends):
+                yield whole()
+                size, parts = 0, []
+        if start < len(keys):
+            parts.append((ids[start:], places[start:], batch.column(3)[start:].to_pylist()))
+            size += len(keys) - start
+        key = keys[-1]
+    if size:
         yield whole()
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR) -> DataFrame:
     """The documents with every repeated passage cut out, but for those of which they are the first document."""
     spans = repeated_passages(docs, least, anchor).where(F.col("first_doc_id") < F.col("doc_id"))
-    cuts = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
-    pieces = F.aggregate(
-        "__cuts",
-        F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("done")),
-        lambda s, c: F.struct(F.concat(s["kept"], F.col("text").substr((s["done"] + 1).cast("int"), (c["start"] - s["done"]).cast("int"))).alias("kept"), c["end"].alias("done")),
-    )
-    rest = F.concat(pieces["kept"], F.col("text").substr((pieces["done"] + 1).cast("int"), F.char_length("text")))
-    joined = docs.join(cuts, "doc_id", "left")
-    return joined.withColumn("text", F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)
+    cuts = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("__cuts"))
+    joined = docs.join(cuts, docs["doc_id"].cast("long") == F.col("__id"), "left").drop("__id")
+    names = docs.columns
+
+    def cut(batches):
+        for batch in batches:
+            at = names.index("text")
+            texts = [kept(t.as_py(), c.as_py()) for t, c in zip(batch.column(at), batch.column(len(names)), strict=True)]
+            columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(cut, docs.schema)
+
+
+def kept(text: str | None, cuts: list[dict] | None) -> str | None:
+    """``text`` without the words of ``cuts`` (in order, apart from each other) and the blanks between them."""
+    if not text or not cuts:
+        return text
+    at = [m.span() for m in WORD.finditer(text)]
+    out, done = [], 0
+    for c in cuts:
+        out.append(text[done : at[c["start_word"]][0]])
+        done = at[c["end_word"] - 1][1]
+    return "".join([*out, text[done:]])
