@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and novelty measured by a primed zstandard coder.
 
 Three patterns give the base findings.  Beyond them, a string is a candidate if
-a sensitive word stands shortly before it on its line and it has digits amid
-its letters.  It is reported (kind ``novel``) if a compressor that
+a sensitive word stands shortly before it on its line, or ends the line before,
+and it has digits amid its letters; after the header of a private key, every
+line of base64 up to the END marker is one.  It is reported (kind ``novel``) if a compressor that
 already knows a dictionary of identifiers, and has just read the text around
 the candidate, still needs many bytes for it: random keys cannot be predicted,
 names and words can.
@@ -41,6 +42,14 @@ SENSITIVE = re.compile(
 )
 HINTS = ("pass", "pwd", "secret", "token", "credential", "bearer", "auth", "key", "connection")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{16,}")
+LEAST = 16
+#: From the end of a sensitive word that ends its line into the next line.
+NEXT_LINE = re.compile(r"[^A-Za-z0-9\n]*\n[^\n]*")
+#: A private key: its header, the breaks between its lines (escaped ones too), and what a line holds, a field or base64.
+KEY_HEADER = re.compile(r"BEGIN [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-*", re.A | re.I)
+KEY_BREAK = re.compile(r"""[ \t"',;]*(?:\\r)?(?:\\n|\r?\n)[ \t>|#*"']*""")
+KEY_LINE = re.compile(r"(?P<field>[A-Za-z-]+:[^\n\\]*)|[A-Za-z0-9+/=]*")
+KEY_END = re.compile(r"""[ \t"',;]*(?:-----END|$)""")
 #: Digits amid letters: a name with a number at its end is no candidate.
 MIXED = re.compile(r"[0-9][^0-9]*[A-Za-z].*[0-9]|[A-Za-z].*[0-9].*[A-Za-z]", re.S)
 #: How far after a sensitive word a candidate may begin, how much text around it primes the coder, and the least share of its length that it must cost.
@@ -83,6 +92,55 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def key_lines(text: str) -> list[list[tuple[int, int]]]:
+    """The lines of base64 of each private key, up to its END marker or to what no key has."""
+    keys, at = [], 0
+    for m in KEY_HEADER.finditer(text):
+        if m.start() < at:
+            continue
+        at, lines = m.end(), []
+        while after := KEY_BREAK.match(text, at):
+            line = KEY_LINE.match(text, after.end())
+            at = line.end()
+            if not line["field"] and at > line.start() and (KEY_BREAK.match(text, at) or KEY_END.match(text, at)):
+                lines.append(line.span())
+        keys.append(lines)
+    return keys
+
+
+def outside(start: int, end: int, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The parts of a span that none of the spans ``taken`` (in order) covers."""
+    parts = []
+    for a, b, _ in taken:
+        if a >= end:
+            break
+        if b > start:
+            parts += [(start, a)] * (a > start)
+            start = b
+    return parts + [(start, end)] * (start < end)
+
+
+def novel_keys(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The novel lines of private keys; one too short to be measured goes with the line before it.
+
+    A line is measured after the dictionary alone: other lines of base64 would
+    teach the coder its letters.
+    """
+    out = []
+    for lines in key_lines(text):
+        told, at = False, [t for t in taken if lines and t[1] > lines[0][0] and t[0] < lines[-1][1]]
+        for start, end in lines:
+            if end - start >= LEAST:
+                told = is_novel(text[start:end], "")
+            if told:
+                out += [(a, b, "novel") for a, b in outside(start, end, at)]
+    return out
+
+
+def is_novel(word: str, around: str) -> bool:
+    return novelty(word[:4096], around) >= NOVELTY
+
+
 def find(text: str | None) -> list[tuple[int, int, str]]:
     """All findings as (start, end, kind), in order of start, then of ``KINDS``."""
     if not text:
@@ -90,12 +148,14 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     out = base_spans(text)
     low = text.lower()
     if any(k in low for k in HINTS):
+        out += novel_keys(text, sorted(out))
         taken = sorted(out)
         seen = at = 0
         for m in SENSITIVE.finditer(text):
             for c in CANDIDATE.finditer(text, max(m.end(), seen), min(len(text), m.end() + REACH)):
                 start, end = c.start(), CANDIDATE.match(text, c.start()).end()  # the reach limits where it begins, not where it ends
-                if "\n" in text[m.end() : start]:
+                gap = text[m.end() : start]
+                if "\n" in gap and not NEXT_LINE.fullmatch(gap):
                     break
                 seen = end
                 while at < len(taken) and taken[at][1] <= start:
@@ -105,7 +165,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
                 word = text[start:end]
                 if not MIXED.search(word):
                     continue
-                if novelty(word[:4096], text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]) >= NOVELTY:
+                if is_novel(word, text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]):
                     out.append((start, end, "novel"))
     return sorted(set(out), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
