@@ -42,7 +42,7 @@ SENSITIVE = re.compile(
 )
 HINTS = ("pass", "pwd", "secret", "token", "credential", "bearer", "auth", "key", "connection")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{16,}")
-LEAST = 16
+LEAST, MEASURED = 16, 4096
 #: From the end of a sensitive word that ends its line into the next line.
 NEXT_LINE = re.compile(r"[^A-Za-z0-9\n]*\n[^\n]*")
 #: A private key: its header, the breaks between its lines (escaped ones too), and what a line holds, a field or base64.
@@ -138,7 +138,9 @@ def novel_keys(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
 
 
 def is_novel(word: str, around: str) -> bool:
-    return novelty(word[:4096], around) >= NOVELTY
+    """Whether any of the equal blocks, of ``MEASURED`` characters at most, that make up ``word`` is novel."""
+    step = -(-len(word) // -(-len(word) // MEASURED))
+    return any(novelty(word[i : i + step], around) >= NOVELTY for i in range(0, len(word), step))
 
 
 def find(text: str | None) -> list[tuple[int, int, str]]:
@@ -152,7 +154,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         taken = sorted(out)
         seen = at = 0
         for m in SENSITIVE.finditer(text):
-            for c in CANDIDATE.finditer(text, max(m.end(), seen), min(len(text), m.end() + REACH)):
+            for c in CANDIDATE.finditer(text, max(m.end(), seen), min(len(text), m.end() + REACH + LEAST - 1)):
                 start, end = c.start(), CANDIDATE.match(text, c.start()).end()  # the reach limits where it begins, not where it ends
                 gap = text[m.end() : start]
                 if "\n" in gap and not NEXT_LINE.fullmatch(gap):
