@@ -29,6 +29,19 @@ EMPTY_SCRIPTS = (
     rf"(?is)<msup\b[^>]*>.*?<mrow>{SPACE}*</mrow>{SPACE}*</msup>", rf"(?is)<msup\b[^>]*>.*?<mrow{SPACE}*/>{SPACE}*</msup>",
     rf"(?is)<msubsup\b[^>]*>.*?<mrow>{SPACE}*</mrow>{SPACE}*<mrow>{SPACE}*</mrow>{SPACE}*</msubsup>", rf"(?is)<msubsup\b[^>]*>.*?<mrow{SPACE}*/>{SPACE}*<mrow{SPACE}*/>{SPACE}*</msubsup>",
 )
+ANY, QUOTE = r"[^\n\r\x{2028}\x{2029}]", r"(?=['\"])"
+#: The reference's rewrites of pasted Office markup, before and after the one of equation images.
+WORD_RULES = (
+    (r"(?is)<!\[if.*?\]>", ""), (r"(?i)<!\[endif\]>", ""), (r"(?is)<!--\[if.*?endif\]-->", ""), (r"(?i)<o:p></o:p>", ""), (rf"(?i)<o:p>{ANY}*?</o:p>", ""),
+    (r"(?i)</?o:[^>]*>", ""), (r"(?i)</?v:[^>]*>", ""), (r"(?i)</?w:[^>]*>", ""), (r"(?i)</?m:[^>]*>", ""),
+    (rf'(?i){SPACE}*class="Mso[^"]*"', ""), (rf"(?i)<span{SPACE}*>{SPACE}*</span>", ""),
+    (rf"(?i)font-family:[^;\"']*(?:;|{SPACE}*{QUOTE})", ""), (rf"(?i)font-size:{SPACE}*[0-9.]+pt{SPACE}*(?:;|{SPACE}*{QUOTE})", ""), (rf'(?i){SPACE}*style="{SPACE}*"', ""),
+)
+EQUATION_IMAGE = r'(?i)<img[^>]*?alt="([^"]*)"[^>]*?class="[^"]*equation[^"]*"[^>]*?/?>'
+LATER_WORD_RULES = (
+    (rf"(?i)<v:shape[^>]*>{ANY}*?</v:shape>", ""), (rf"(?i)(?:<p[^>]*>(?:&nbsp;|{SPACE})*+</p>{SPACE}*+){{3,}}", "<p>&nbsp;</p>"),
+    (rf'(?i)<b{SPACE}+style="[^"]*font-weight:{SPACE}*normal[^"]*">({ANY}*?)</b>', "$1"),
+)
 PASTE_RULES = (
     (r"(?s)<!--.*?-->", ""), (r"(?is)<(?:meta|link)\b[^>]*>", ""), (r"(?is)<(style|script|xml)\b[^>]*>.*?</\1>", ""), (r"(?is)</?(?:o|w|m|v|st1):[^>]*>", ""),
     (r"(?i)\s+class=(?:\"Mso[^\"]*\"|'Mso[^']*'|Mso[A-Za-z0-9]*)", ""), (r"(?i)\s+style=(?:\"[^\"]*\"|'[^']*')", ""), (r"(?i)\s+lang=(?:\"[^\"]*\"|[A-Za-z-]+)", ""),
@@ -76,8 +89,33 @@ def tag_free(column: str | Column) -> Column:
     return collapse_white_space(bare)
 
 
+def equation_images(html: Column) -> Column:
+    """Images of class ``equation`` as formulas of their alternative text; those without one stay."""
+
+    def formula(image: Column) -> Column:
+        alt = F.regexp_replace(F.regexp_extract(image, EQUATION_IMAGE, 1), f"^{SPACE}+|{SPACE}+$", "")
+        for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            alt = F.replace(alt, F.lit(char), F.lit(entity))
+        return F.when(alt == "", image).otherwise(F.concat(F.lit('<span class="math-inline" data-latex="'), alt, F.lit('">'), alt, F.lit("</span>")))
+
+    images = F.transform(F.regexp_extract_all(html, F.lit(EQUATION_IMAGE), 0), formula)
+    between = F.split(html, EQUATION_IMAGE)
+    return F.concat(between[0], F.array_join(F.zip_with(images, F.slice(between, 2, F.size(images)), lambda image, after: F.concat(image, after)), ""))
+
+
+def word_html(html: Column) -> Column:
+    """Office markup after the reference's eighteen rewrites, in its order (tags of shapes go before shapes do, so their content stays)."""
+    for pattern, by in WORD_RULES:
+        html = F.regexp_replace(html, pattern, by)
+    html = equation_images(html)
+    for pattern, by in LATER_WORD_RULES:
+        html = F.regexp_replace(html, pattern, by)
+    return html
+
+
 def cleaned_paste(html: Column) -> Column:
-    """Office markup reduced to plain elements, rule by rule."""
+    """Office markup after ``word_html``, reduced to plain elements, rule by rule; no style and no blank paragraph stays."""
+    html = word_html(html)
     for pattern, by in PASTE_RULES:
         html = F.regexp_replace(html, pattern, by)
     return html
