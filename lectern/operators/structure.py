@@ -47,7 +47,7 @@ def split_merged_captions(blocks: DataFrame, key: str = "doc", idx: str = "idx")
 
 
 def table_captions(blocks: DataFrame, key: str = "doc", idx: str = "idx") -> DataFrame:
-    """Each table with the number and captions (Russian, English) of the rows just before it, three at most; those rows have ``of_table``."""
+    """Each table with the number and captions (Russian, English) of the rows just before it, four at most; those rows have ``of_table``."""
     w = ordered(key, idx)
     t = F.col("text")
     role = (
@@ -58,9 +58,9 @@ def table_captions(blocks: DataFrame, key: str = "doc", idx: str = "idx") -> Dat
     caption = ~F.col("role").isin("table", "other")
     # Rows of one run of captions and the table that ends it share a number.
     run = F.sum((~caption).cast("int")).over(w) - F.when(caption, 0).otherwise(1)
-    runs = marked.withColumn("run", run).withColumn("back", F.count("*").over(w.partitionBy(key, "run").rowsBetween(0, 3)) - 1)
-    end = F.last("role").over(w.partitionBy(key, "run").rowsBetween(0, 3))
-    at = F.last(idx).over(w.partitionBy(key, "run").rowsBetween(0, 3))
+    runs = marked.withColumn("run", run).withColumn("back", F.count("*").over(w.partitionBy(key, "run").rowsBetween(0, 4)) - 1)
+    end = F.last("role").over(w.partitionBy(key, "run").rowsBetween(0, 4))
+    at = F.last(idx).over(w.partitionBy(key, "run").rowsBetween(0, 4))
     return runs.withColumn("of_table", F.when(caption & (end == "table"), at)).drop("run", "back")
 
 
