@@ -44,6 +44,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_TOXIC, MAX_CLEAN = 1_500, 3_000
+#: Strings that the machine learns from: toxic ones, those of them also put in with changes; clean ones that are frequent, random, and the worst of each of two rounds.
+MAX_STRINGS, MAX_WIDENED, MAX_FREQUENT, MAX_RANDOM, MAX_HARDEST = 2_000, 600, 1_500, 2_500, 1_000
 LANDMARKS = 32
 DECAY, ORDER = 0.5, 3
 LONG, STEP = 24, 12
@@ -279,11 +281,11 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 5) -> Model | fl
     positive = Counter(w for words in toxic for w in words if w not in common and any(r in w for r in runs))
     if not positive:
         return 0.0
-    strings = [w[:LONG] for w, _ in sorted(positive.items(), key=lambda x: (-x[1], x[0]))[:2_000]]
+    strings = [w[:LONG] for w, _ in sorted(positive.items(), key=lambda x: (-x[1], x[0]))[:MAX_STRINGS]]
     strings = list(dict.fromkeys(strings))
-    extra = widened(sorted({*runs, *strings[:600]}), rng)
-    frequent = [w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:1_500]]
-    negative = list(dict.fromkeys(w[:LONG] for w in (*frequent, *rng.sample(vocabulary, min(2_500, len(vocabulary))))))
+    extra = widened(sorted({*runs, *strings[:MAX_WIDENED]}), rng)
+    frequent = [w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:MAX_FREQUENT]]
+    negative = list(dict.fromkeys(w[:LONG] for w in (*frequent, *rng.sample(vocabulary, min(MAX_RANDOM, len(vocabulary))))))
     shortest = [min((w for w in strings if r in w), key=lambda w: (len(w), w), default=r) for r in runs]
     landmarks = list(dict.fromkeys([*shortest, *runs, *strings]))[: LANDMARKS * 3 // 4]
     landmarks += [w for w in negative if w not in landmarks][: LANDMARKS - len(landmarks)]
@@ -299,9 +301,9 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 5) -> Model | fl
         beta, bias = svm(x, y, weight)
         model = Model.of(landmarks, whiten @ beta * root, bias)
         if again < 2:  # the clean words that this machine finds worst
-            hardest = np.argsort(-model.margins(vocabulary), kind="stable")[:1_000]
+            hardest = np.argsort(-model.margins(vocabulary), kind="stable")[:MAX_HARDEST]
             negative = list(dict.fromkeys([*negative, *(vocabulary[i][:LONG] for i in hardest)]))
-    sample = [(w, 1.0) for w in toxic[:800]] + [(w, 0.0) for w in clean[:1_600]]
+    sample = [(w, 1.0) for w in toxic] + [(w, 0.0) for w in clean]
     every = sorted({w for words, _ in sample for w in words})
     of = dict(zip(every, model.margins(every).tolist(), strict=True))
     best = np.maximum([max((of[w] for w in words), default=LOWEST) for words, _ in sample], LOWEST)
