@@ -24,18 +24,24 @@ hashes of the ``least``-word windows around it, one for each split, and the
 windows that two documents have are found by partial aggregation; the union of
 those windows is what sorting would have found.
 
-A passage counts if two different documents have it.  Equal texts are one text
-to this search (their smallest doc_id stands for them) and are repeated whole
-if they have ``least`` words.
+A passage counts if two different documents have it.  Equal texts (by SHA-256)
+are one text to this search (their smallest doc_id stands for them) and are
+repeated whole if they have ``least`` words.
+
+``without_repeats`` gives every passage of ``least`` words to the smallest doc_id
+that has it, which keeps it whole; other documents lose those of its words that
+no passage of their own needs.  So each passage stays in one document at least.
 
 Defined results: null texts, empty ones and ones of fewer than ``least`` words
 have no passages; rows repeated under one doc_id with one text are one document;
 rows with a null doc_id are left out; an empty table gives an empty result;
-extra columns are ignored by ``repeated_passages``.
+extra columns are ignored by ``repeated_passages`` and kept by ``without_repeats``,
+which also keeps rows with a null doc_id or text as they are.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -49,9 +55,9 @@ from lectern.storage import materialize
 LEAST, ANCHOR = 50, 10
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Suffixes with one anchor that a task sorts together; those of a larger group are matched window by window.
-FULL = 50_000
+FULL = 16_384
 #: Suffixes, of many anchors, that are compared at a time.
-TOGETHER = 20_000
+TOGETHER = 8_192
 
 
 def word_codes(text: str | None) -> np.ndarray:
@@ -176,6 +182,21 @@ def union_of(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return [tuple(x) for x in out]
 
 
+def fixed_rows(rows: np.ndarray) -> pa.Array:
+    """Rows of a matrix as binary values, without a Python object for each."""
+    data = np.ascontiguousarray(rows)
+    offsets = np.arange(len(data) + 1, dtype=np.int32) * np.int32(data.shape[1] * data.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def matrix_of(rows: pa.Array, width: int) -> np.ndarray:
+    """The matrix that ``fixed_rows`` made values of (none of them null); it shares their memory."""
+    rows = rows.cast(pa.binary())
+    offsets = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1]
+    data = np.frombuffer(rows.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return data.view(np.uint32).reshape(-1, width)
+
+
 def repeated_passages(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR) -> DataFrame:
     """``doc_id, start_word, end_word, n_words, first_doc_id``: passages of ``least`` words or more that another document has, too.
 
@@ -183,10 +204,13 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR)
     smallest doc_id found to share a part of the passage.  Texts are shuffled
     once, to meet the places that were found worth comparing.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("sha")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    sha = F.unhex(F.sha2("text", 256)).alias("sha")
+    # Suffixes carry a short mark of their text; texts whose marks collide only lend each other places to look at.
+    mark = F.xxhash64("text").alias("mark")
     words = F.regexp_count("text", F.lit(WORD.pattern)).cast("long")
-    ids = materialize(texts.select("doc_id", "sha", words.alias("n")).distinct(), "repeats-ids")
-    leads = ids.groupBy("sha", "n").agg(F.min("doc_id").alias("lead"), (F.min("doc_id") < F.max("doc_id")).alias("copied"))
+    ids = materialize(texts.select("doc_id", sha, mark, words.alias("n")).distinct(), "repeats-ids")
+    leads = ids.groupBy("sha", "mark", "n").agg(F.min("doc_id").alias("lead"), (F.min("doc_id") < F.max("doc_id")).alias("copied"))
     leads = materialize(leads, "repeats-leads")
 
     def select(batches):
@@ -197,14 +221,14 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR)
                 ids.append(np.full(len(at), i, np.int64))
                 keys.append(hashes.view(np.int64))
                 places.append(at.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, keys, places)], names=["sha", "anchor", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, keys, places)], names=["mark", "anchor", "place"])
 
-    suffixes = materialize(texts.select("sha", "text").mapInArrow(select, "sha long, anchor long, place int"), "repeats-suffixes")
-    shared = suffixes.groupBy("anchor").agg(F.min("sha").alias("low"), F.max("sha").alias("high"), F.count("*").alias("n")).where(F.col("low") < F.col("high"))
+    suffixes = materialize(texts.select(mark, "text").mapInArrow(select, "mark long, anchor long, place int"), "repeats-suffixes")
+    shared = suffixes.groupBy("anchor").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), F.count("*").alias("n")).where(F.col("low") < F.col("high"))
     shared = materialize(shared.select("anchor", (F.col("n") > FULL).alias("full")), "repeats-anchors")
     of = lambda full: F.collect_set(F.when(F.col("full") == full, F.col("place")))
-    wanted = suffixes.join(shared, "anchor").groupBy("sha").agg(of(False).alias("places"), of(True).alias("full_places"))
-    wanted = materialize(wanted.join(leads.select("sha", "lead"), "sha").select(F.col("lead").alias("doc_id"), "sha", "places", "full_places"), "repeats-wanted")
+    wanted = suffixes.join(shared, "anchor").groupBy("mark").agg(of(False).alias("places"), of(True).alias("full_places"))
+    wanted = materialize(wanted.join(leads.select("mark", "sha", "lead"), "mark").select(F.col("lead").alias("doc_id"), "sha", "places", "full_places"), "repeats-wanted")
 
     def surround(batches):
         """Suffixes with the words around them; of full anchors, the hashes of the windows around them (and no words)."""
@@ -212,11 +236,13 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR)
         for batch in batches:
             for i, text, places, full in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), strict=True):
                 codes = word_codes(text.as_py())
+                hashes = anchors(codes, anchor).view(np.int64)
                 at = np.sort(places.values.to_numpy(zero_copy_only=False)).astype(np.int64)
-                hashes = anchors(codes, anchor)[at].view(np.int64)
+                at = at[at < len(hashes)]
+                hashes = hashes[at]
                 for k in range(0, len(at), 5_000):
                     part = at[k : k + 5_000]
-                    rows = pa.array([r.tobytes() for r in _context(codes, part, least, anchor)], pa.binary())
+                    rows = fixed_rows(_context(codes, part, least, anchor))
                     yield pa.RecordBatch.from_arrays([pa.array(hashes[k : k + 5_000]), pa.array(np.full(len(part), i, np.int64)), pa.array(part), rows], names=names)
                 at = full.values.to_numpy(zero_copy_only=False).astype(np.int64)
                 if len(at):
@@ -225,7 +251,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR)
                     starts = starts[(starts >= 0) & (starts < len(hashes))]
                     yield pa.RecordBatch.from_arrays([pa.array(hashes[starts]), pa.array(np.full(len(starts), i, np.int64)), pa.array(starts), pa.nulls(len(starts), pa.binary())], names=names)
 
-    chosen = texts.join(wanted, ["doc_id", "sha"]).dropDuplicates(["doc_id", "sha"]).select("doc_id", "text", "places", "full_places")
+    chosen = texts.withColumn("sha", sha).join(wanted, ["doc_id", "sha"]).dropDuplicates(["doc_id", "sha"]).select("doc_id", "text", "places", "full_places")
     around = materialize(chosen.mapInArrow(surround, "key long, doc_id long, place long, words binary"), "repeats-around")
 
     def match(batches):
@@ -241,7 +267,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR)
     common = windows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("high")).where(F.col("first") < F.col("high"))
     found = found.union(windows.join(common, "key").select("doc_id", F.col("place").alias("start"), (F.col("place") + least).alias("end"), "first"))
     found = materialize(found, "repeats-found")
-    # Texts of one doc_id that differ are told apart by their word count only; their passages then count for both.
+    # Texts of one doc_id that differ are one document here; their passages count for both.
     whole = leads.where(F.col("copied") & (F.col("n") >= least)).select(F.col("lead").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.col("n").alias("end"), F.col("lead").alias("first"))
     per_doc = found.union(whole).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "first")).alias("spans"))
 
@@ -252,7 +278,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["lead", "start_word", "end_word", "first_doc_id"])
 
     united = per_doc.mapInArrow(unite, "lead long, start_word long, end_word long, first_doc_id long")
-    owners = ids.join(leads.select("sha", "n", "lead"), ["sha", "n"]).select("doc_id", "lead").distinct()
+    owners = ids.join(leads.select("sha", "lead"), "sha").select("doc_id", "lead").distinct()
     return owners.join(united, "lead").select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id")
 
 
@@ -264,27 +290,25 @@ def sorted_groups(batches, width: int):
     key, size, parts = None, 0, []
 
     def whole():
-        ids, places, words = zip(*parts, strict=True)
-        rows = np.frombuffer(b"".join(w for part in words for w in part), np.uint32).reshape(-1, width)
-        return np.concatenate(ids), np.concatenate(places), rows
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = batch.column(0).to_numpy(zero_copy_only=False)
-        ids, places = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+        ids, places, words = *(batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)), matrix_of(batch.column(3), width)
         start = 0
         if size >= TOGETHER or (size and keys[0] != key and size + len(keys) > 2 * TOGETHER):
             ends = np.flatnonzero(keys != key)  # the anchor at hand may go on into this batch
             start = int(ends[0]) if len(ends) else len(keys)
             if start:
-                parts.append((ids[:start], places[:start], batch.column(3)[:start].to_pylist()))
+                parts.append((ids[:start], places[:start], words[:start]))
                 size += start
             if len(ends):
                 yield whole()
                 size, parts = 0, []
         if start < len(keys):
-            parts.append((ids[start:], places[start:], batch.column(3)[start:].to_pylist()))
+            parts.append((ids[start:], places[start:], words[start:]))
             size += len(keys) - start
         key = keys[-1]
     if size:
@@ -292,29 +316,62 @@ def sorted_groups(batches, width: int):
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR) -> DataFrame:
-    """The documents with every repeated passage cut out, but for those of which they are the first document."""
-    spans = repeated_passages(docs, least, anchor).where(F.col("first_doc_id") < F.col("doc_id"))
-    cuts = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("__cuts"))
-    joined = docs.join(cuts, docs["doc_id"].cast("long") == F.col("__id"), "left").drop("__id")
+    """The documents without the repeated passages that a document with a smaller doc_id keeps.
+
+    The windows of ``least`` words within repeated passages are dealt by a hash;
+    the smallest doc_id with a window owns it.  Words of windows that others own
+    are cut, but for those that a repeated window of the document's own covers.
+    """
     names = docs.columns
+    spans = repeated_passages(docs, least, anchor).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("__spans"))
+    spans = materialize(spans, "repeats-spans")
+
+    def windows(batches):
+        for batch in batches:
+            for i, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                one, two = window_marks(text.as_py(), least)
+                sha = hashlib.sha256((text.as_py() or "").encode("utf-8", "surrogatepass")).digest()
+                at = np.unique(np.concatenate([np.arange(s["start_word"], min(s["end_word"] - least + 1, len(one))) for s in own])).astype(np.int64)
+                for k in range(0, len(at), 20_000):
+                    part = at[k : k + 20_000]
+                    columns = one[part], two[part], np.full(len(part), i, np.int64), part, [sha] * len(part)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["one", "two", "doc_id", "place", "sha"])
+
+    within = docs.select(F.col("doc_id").cast("long"), "text").join(spans, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__spans")
+    found = materialize(within.mapInArrow(windows, "one long, two long, doc_id long, place long, sha binary"), "repeats-windows")
+    owned = found.groupBy("one", "two").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where(F.col("owner") < F.col("last")).drop("last")
+    met = found.join(owned, ["one", "two"])
+    of = lambda mine: F.collect_set(F.when((F.col("owner") == F.col("doc_id")) == mine, F.col("place")))
+    cuts = met.groupBy(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")).agg(of(True).alias("__mine"), of(False).alias("__theirs")).where(F.size("__theirs") > 0)
+    same = (docs["doc_id"].cast("long") == F.col("__id")) & (F.unhex(F.sha2(docs["text"], 256)) == F.col("__sha"))
+    joined = docs.join(cuts, same, "left").drop("__id", "__sha")
 
     def cut(batches):
         for batch in batches:
             at = names.index("text")
-            texts = [kept(t.as_py(), c.as_py()) for t, c in zip(batch.column(at), batch.column(len(names)), strict=True)]
+            texts = [kept(t.as_py(), m.as_py(), o.as_py(), least) for t, m, o in zip(batch.column(at), batch.column(len(names)), batch.column(len(names) + 1), strict=True)]
             columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(cut, docs.schema)
 
 
-def kept(text: str | None, cuts: list[dict] | None) -> str | None:
-    """``text`` without the words of ``cuts`` (in order, apart from each other) and the blanks between them."""
-    if not text or not cuts:
+def window_marks(text: str | None, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the ``least`` words from each place, which together tell windows apart."""
+    codes = word_codes(text)
+    return anchors(codes, least).view(np.int64), anchors(mixed(codes), least).view(np.int64)
+
+
+def kept(text: str | None, mine: list[int] | None, theirs: list[int] | None, least: int) -> str | None:
+    """``text`` without the words, and the blanks between them, that windows at ``theirs`` cover and none at ``mine`` does."""
+    if not text or not theirs:
         return text
     at = [m.span() for m in WORD.finditer(text)]
+    covered = lambda starts: np.cumsum(np.bincount(starts, minlength=len(at) + 1)[: len(at) + 1] - np.bincount(np.asarray(starts) + least, minlength=len(at) + 1)[: len(at) + 1])[: len(at)] > 0
+    gone = covered(theirs) & ~(covered(mine) if mine else False)
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False]))))
     out, done = [], 0
-    for c in cuts:
-        out.append(text[done : at[c["start_word"]][0]])
-        done = at[c["end_word"] - 1][1]
+    for start, end in edges.reshape(-1, 2).tolist():
+        out.append(text[done : at[start][0]])
+        done = at[end - 1][1]
     return "".join([*out, text[done:]])
