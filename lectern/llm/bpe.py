@@ -12,9 +12,11 @@ that reads a pre-token byte by byte.  It rests on two facts about BPE:
 A state is the last emitted token and the bytes after it.  Start positions at
 which some longer token could still begin are *live*; what the token chains of
 all live positions share can no longer change, so it is emitted.  The lookahead
-is thus bounded by the longest token.  States and transitions are made when
-first met and kept; ``max_states`` bounds them (the machine then starts afresh,
-which changes speed only).
+is thus bounded by the longest token.  Emitted tokens that forbid the same
+continuations lead to one state.  States and transitions are made when
+first met and kept in two generations: when the younger is full, the older one,
+which holds what was not met since, goes.  ``max_moves`` bounds a generation; it
+changes speed only.  A piece that is a token itself needs no machine.
 
 Decoding feeds token bytes, in chunks, to an incremental UTF-8 state machine
 that holds back an unfinished character until its next bytes arrive; malformed
@@ -34,6 +36,7 @@ import base64
 import codecs
 import functools
 import hashlib
+from bisect import bisect_left
 from itertools import chain, islice
 
 import pyarrow as pa
@@ -46,59 +49,35 @@ BLOCK = 20_000
 ENDLESS = 1 << 60
 
 
-class Node:
-    """The token that ends at offset ``at`` of the pending bytes, linked to the token before it."""
-
-    __slots__ = ("at", "before", "token")
-
-    def __init__(self, token: int, at: int, before: Node | None):
-        self.token, self.at, self.before = token, at, before
-
-
 class State:
-    """``live``: the ends from which a token may still go on, in order; ``root``: where all their chains begin."""
-
-    __slots__ = ("live", "moves", "pending", "root")
-
-    def __init__(self, pending: bytes, live: list[Node], root: Node):
-        self.pending, self.live, self.root = pending, live, root
-        self.moves: dict[int, tuple[State, tuple[int, ...]]] = {}
-
-
-def tokens_after(root: Node, node: Node) -> tuple[int, ...]:
-    out = []
-    while node is not root:
-        out.append(node.token)
-        node = node.before
-    return tuple(reversed(out))
+    """``ends[i]``: the last token of the first ``i`` pending bytes, for 0 the token before them; ``live``: the places from which a token may still go on."""
 
+    __slots__ = ("ends", "live", "number", "pending")
 
-def moved(node: Node, root: Node, by: int, made: dict[int, Node]) -> Node:
-    """The chain from ``root`` to ``node`` as it looks once ``by`` bytes before ``root`` are gone."""
-    if node.at not in made:
-        made[node.at] = Node(node.token, node.at - by, moved(node.before, root, by, made))
-    return made[node.at]
+    def __init__(self, number: int, pending: bytes, ends: tuple[int, ...], live: tuple[int, ...]):
+        self.number, self.pending, self.ends, self.live = number, pending, ends, live
 
 
 class Transducer:
     #: Liveness looks at each longer token if there are so few; else it takes one of them to fit, which is safe.
-    FEW = 6
+    FEW = 4
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 120_000):
-        self.ranks, self.max_states = ranks, max_states
+    def __init__(self, ranks: dict[bytes, int], max_moves: int = 200_000):
+        self.ranks, self.max_moves = ranks, max_moves
         self.token = {v: k for k, v in ranks.items()}
+        self.sizes = {v: len(k) for k, v in ranks.items()}
         self.open: dict[bytes, list[int]] = {}
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 self.open.setdefault(token[:i], []).append(rank)
-        self.spines: dict[tuple[int, bool], list[tuple[bytes, int]]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.reset()
-
-    def reset(self) -> None:
+        self.shift = max(ranks.values()).bit_length()
+        self.spines: dict[int, list[tuple[bytes, int]]] = {}
+        self.rivals: dict[tuple[bytes, bytes], list[int]] = {}
+        self.fits: dict[int, bool] = {}
+        self.start, self.numbers = State(0, b"", (-1,), (0,)), 0
         self.states: dict[tuple[int, bytes], State] = {}
-        root = Node(-1, 0, None)
-        self.start = State(b"", [root], root)
+        self.moves: dict[int, tuple[State, tuple[int, ...]]] = {}
+        self.old_states, self.old_moves = self.states, self.moves
 
     def split(self, token: bytes) -> tuple[bytes, bytes]:
         """The two parts that the last merge of ``token`` joins."""
@@ -110,7 +89,7 @@ class Transducer:
 
     def spine(self, token: int, right: bool) -> list[tuple[bytes, int]]:
         """The parts along one edge of a token while it is built, each with the rank of the merge that takes it up."""
-        key = (token, right)
+        key = token * 2 + right
         if (known := self.spines.get(key)) is None:
             part, until, known = self.token[token], ENDLESS, []
             while True:
@@ -123,9 +102,9 @@ class Transducer:
 
     def fit(self, left: int, right: int) -> bool:
         """Can ``left`` and ``right`` be neighbours?  Of merges of equal rank the leftmost comes first."""
-        key = (left, right)
+        key = left << self.shift | right
         if (known := self.fits.get(key)) is None:
-            if len(self.fits) > 3 * self.max_states:
+            if len(self.fits) > 2 * self.max_moves:
                 self.fits.clear()
             known, rank_of, rights = True, self.ranks.get, self.spine(right, False)
             for a, until_a in self.spine(left, True):
@@ -151,60 +130,101 @@ class Transducer:
                 return True
         return False
 
-    def end_of(self, state: State, pending: bytes) -> Node:
+    def end_of(self, state: State, pending: bytes) -> int:
         """The last token of what ``pending`` makes of the input."""
-        for node in state.live:
-            token = self.ranks.get(pending[node.at :])
-            if token is not None and (node.token < 0 or self.fit(node.token, token)):
-                return Node(token, len(pending), node)
+        ends = state.ends
+        for at in state.live:
+            token = self.ranks.get(pending[at:])
+            if token is not None and (ends[at] < 0 or self.fit(ends[at], token)):
+                return token
         raise ValueError(f"the vocabulary has no token for the byte {pending[-1:]!r}")
 
+    def chain(self, ends: tuple[int, ...], at: int) -> tuple[int, ...]:
+        """The tokens that make up the first ``at`` pending bytes."""
+        out, sizes = [], self.sizes
+        while at:
+            out.append(ends[at])
+            at -= sizes[ends[at]]
+        return tuple(reversed(out))
+
     def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        pending = state.pending + bytes((byte,))
-        cut = end = self.end_of(state, pending)
-        live = []
-        for node in state.live:
-            if self.extends(node.token, pending[node.at :]):
-                live.append(node)
-                while node is not cut:  # up the tree of token chains to where both meet
-                    if node.at > cut.at:
-                        node = node.before
+        pending, sizes = state.pending + bytes((byte,)), self.sizes
+        ends = (*state.ends, self.end_of(state, pending))
+        cut, live = len(pending), []
+        for at in state.live:
+            if self.extends(ends[at], pending[at:]):
+                live.append(at)
+                while at != cut:  # back along both token chains to where they meet
+                    if at > cut:
+                        at -= sizes[ends[at]]
                     else:
-                        cut = cut.before
-        live.append(end)
-        emitted = tokens_after(state.root, cut)
-        by = cut.at
+                        cut -= sizes[ends[cut]]
+        live.append(len(pending))
+        rest, tail = pending[cut:], [-1] * (len(pending) - cut + 1)
+        for at in live:
+            while at > cut and tail[at - cut] < 0:
+                tail[at - cut] = ends[at]
+                at -= sizes[ends[at]]
         # If no token will begin at the cut, its left neighbour has no more say.
-        key = (cut.token if cut is live[0] else -1, pending[by:])
-        if (after := self.states.get(key)) is None:
-            root = Node(key[0], 0, None)
-            made = {by: root}
-            after = self.states[key] = State(key[1], [moved(node, cut, by, made) for node in live], root)
-        move = state.moves[byte] = (after, emitted)
+        kind = self.kind(ends[cut], rest) if cut == live[0] else -1
+        key = (kind, rest, *tail)
+        after = self.states.get(key)
+        if after is None:
+            after = self.old_states.get(key)
+            if after is None:
+                self.numbers += 1
+                tail[0] = ends[cut] if cut == live[0] else -1
+                after = State(self.numbers, rest, tuple(tail), tuple(at - cut for at in live))
+            self.states[key] = after
+        return after, self.chain(ends, cut)
+
+    def kind(self, left: int, start: bytes) -> tuple[tuple[bytes, int], ...]:
+        """What of ``left`` can forbid a token that begins with ``start``: parts at its right edge, and how many merges come before they are taken up."""
+        if left < 0:
+            return ()
+        out = []
+        for part, until in self.spine(left, True):
+            key = (part, start)
+            if (rivals := self.rivals.get(key)) is None:
+                if len(self.rivals) > self.max_moves:
+                    self.rivals.clear()
+                whole = part + start
+                ranks = [self.ranks.get(whole[:i], -1) for i in range(len(part) + 1, len(whole) + 1)]
+                rivals = self.rivals[key] = sorted([*self.open.get(whole, ()), *[r for r in ranks if r >= 0]])
+            if before := bisect_left(rivals, until):
+                out.append((part, before))
+        return tuple(out)
+
+    def move(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
+        """A transition that is not in the younger generation."""
+        key = state.number << 8 | byte
+        move = self.old_moves.get(key) or self.step(state, byte)
+        if len(self.moves) >= self.max_moves:
+            self.old_moves, self.old_states, self.moves, self.states = self.moves, self.states, {}, {}
+        self.moves[key] = move
         return move
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > self.max_states:
-            self.reset()
-        state, out = self.start, []
+        if not piece:
+            return []
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            return [whole]
+        state, out, known = self.start, [], self.moves.get
         for byte in piece[:-1]:
-            move = state.moves.get(byte)
-            if move is None:
-                if len(self.states) > 2 * self.max_states:
-                    self.states.clear()
-                move = self.step(state, byte)
-            state, emitted = move
+            state, emitted = known(state.number << 8 | byte) or self.move(state, byte)
             if emitted:
                 out += emitted
-        if piece:  # nothing follows the last byte, so no state is made for it
-            out += tokens_after(state.root, self.end_of(state, state.pending + piece[-1:]))
+        # Nothing follows the last byte, so no state is made for it.
+        pending = state.pending + piece[-1:]
+        out += self.chain((*state.ends, self.end_of(state, pending)), len(pending))
         return out
 
 
 class Codec:
     """Splits texts by ``pattern`` and runs each piece through the transducer."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cached_pieces: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached_pieces: int = 200_000):
         self.machine = Transducer(ranks)
         self.pieces = regex.compile(pattern)
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
@@ -217,7 +237,7 @@ class Codec:
         self.cached_pieces = cached_pieces
 
     def piece_ids(self, piece: str) -> tuple[int, ...]:
-        ids = self.older.get(piece)
+        ids = self.known.get(piece) or self.older.get(piece)  # a block may have begun before the last turn
         if ids is None:
             ids = tuple(self.machine.encode(piece.encode("utf-8")))
             if len(piece) > 40:

@@ -41,9 +41,19 @@ def test_ids_equal_the_library(reference):
 
 def test_machine_starts_afresh(reference):
     small = bpe.Codec(CODEC.machine.ranks, public_tokenizers.PATTERN, cached_pieces=50)
-    small.machine.max_states = 40
+    small.machine.max_moves = 40
     text = " ".join(f"w{i}ing{i * 7919}tion" for i in range(400))
     assert small.encode(text) == reference.encode_ordinary(text)
+    assert len(small.machine.moves) <= 40 and len(small.machine.old_moves) <= 40
+
+
+def test_random_syllables_equal_the_library(reference):
+    """Words made of word parts: many states with one pending string after different tokens."""
+    rng = random.Random(7)
+    parts = ["th", "er", "ation", "ing", "é", "ß", "ent", "on", "re", "he", "an", "ie", "sch", "ción", "ll", "ñ", "qu", "a", "s", "0", "T"]
+    for _ in range(3000):
+        text = " " * rng.randrange(2) + "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        assert CODEC.encode(text) == reference.encode_ordinary(text)
 
 
 def test_decoding_in_blocks(monkeypatch):
