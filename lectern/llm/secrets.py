@@ -42,7 +42,8 @@ SENSITIVE = re.compile(
 )
 HINTS = ("pass", "pwd", "secret", "token", "credential", "bearer", "auth", "key", "connection")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{16,}")
-LEAST, MEASURED = 16, 4096
+#: The least length of a candidate, and of the windows by which longer ones are measured: over more, even random base 32 costs less than its share.
+LEAST, MEASURED = 16, 128
 #: From the end of a sensitive word that ends its line into the next line.
 NEXT_LINE = re.compile(r"[^A-Za-z0-9\n]*\n[^\n]*")
 #: A private key: its header, the breaks between its lines (escaped ones too), and what a line holds, a field or base64.
@@ -50,8 +51,8 @@ KEY_HEADER = re.compile(r"BEGIN [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-*", re.A | re
 KEY_BREAK = re.compile(r"""[ \t"',;]*(?:\\r)?(?:\\n|\r?\n)[ \t>|#*"']*""")
 KEY_LINE = re.compile(r"(?P<field>[A-Za-z-]+:[^\n\\]*)|[A-Za-z0-9+/=]*")
 KEY_END = re.compile(r"""[ \t"',;]*(?:-----END|$)""")
-#: Digits amid letters: a name with a number at its end is no candidate.
-MIXED = re.compile(r"[0-9][^0-9]*[A-Za-z].*[0-9]|[A-Za-z].*[0-9].*[A-Za-z]", re.S)
+#: Letters or digits in a row.
+RUN = re.compile(r"[0-9]+|[A-Za-z]+")
 #: How far after a sensitive word a candidate may begin, how much text around it primes the coder, and the least share of its length that it must cost.
 REACH, AROUND, NOVELTY = 64, 600, 0.72
 
@@ -76,9 +77,28 @@ def coder(level: int = 3) -> zstandard.ZstdCompressor:
 
 def novelty(candidate: str, around: str) -> float:
     """Marginal compressed bytes of ``candidate`` after ``around``, per byte of it."""
-    known = around.replace(candidate, " ").encode("utf-8")
-    own = candidate.encode("utf-8")
-    return (len(coder().compress(known + b" " + own)) - len(coder().compress(known + b" "))) / len(own)
+    return next(novelties([candidate], around.replace(candidate, " ")))
+
+
+def novelties(parts: list[str], around: str):
+    """The novelty of each part; ``around`` is compressed once."""
+    known = around.encode("utf-8") + b" "
+    plain = len(coder().compress(known))
+    for part in parts:
+        own = part.encode("utf-8")
+        yield (len(coder().compress(known + own)) - plain) / len(own)
+
+
+def is_mixed(word: str) -> bool:
+    """Letters amid digits or digits amid letters; a name with a number at its end is neither."""
+    changes, last = 0, None
+    for m in RUN.finditer(word):
+        digit = m.group()[0].isdigit()
+        changes += last is not None and digit != last
+        if changes > 1:
+            return True
+        last = digit
+    return False
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -138,9 +158,10 @@ def novel_keys(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
 
 
 def is_novel(word: str, around: str) -> bool:
-    """Whether any of the equal blocks, of ``MEASURED`` characters at most, that make up ``word`` is novel."""
+    """Whether any of the equal windows, of ``MEASURED`` characters at most, that make up ``word`` is novel; ``word`` itself is taken out of ``around``."""
     step = -(-len(word) // -(-len(word) // MEASURED))
-    return any(novelty(word[i : i + step], around) >= NOVELTY for i in range(0, len(word), step))
+    shares = novelties([word[i : i + step] for i in range(0, len(word), step)], around.replace(word, " "))
+    return any(share >= NOVELTY for share in shares)
 
 
 def find(text: str | None) -> list[tuple[int, int, str]]:
@@ -165,7 +186,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
                 if any(a < end and start < b for a, b, _ in taken[max(0, at - 3) : at + 8]):
                     continue
                 word = text[start:end]
-                if not MIXED.search(word):
+                if not is_mixed(word):
                     continue
                 if is_novel(word, text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]):
                     out.append((start, end, "novel"))
