@@ -1,7 +1,8 @@
 """Shared scratch space: where plans that must cut their lineage write tables.
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
-that setting is absent (local tests) a temporary folder takes its place.  Tables
+that setting is absent and the master is local a temporary folder takes its place;
+on a cluster without it, asking for the folder is an error.  Tables
 stay until the owner of the folder clears it, as results read later start at them.
 """
 
@@ -19,6 +20,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """Base folder that the driver and every executor can reach."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _local_dirs:
             _local_dirs[app] = "file://" + tempfile.mkdtemp(prefix="lectern-")
