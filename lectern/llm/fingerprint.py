@@ -3,12 +3,14 @@
 A fingerprint is every hash, among those of all shingles of five words, that
 lies below a fixed fraction of the hash range.  Its size grows with the
 document, so sketches of very unequal documents can be compared, and the sketch
-of a union is the union of the sketches.  A document none of whose hashes lies
-that low keeps its smallest one, so that only texts without words have an empty
-sketch.
-
-Defined results: a null text is an empty one; fewer than five words form one
-shingle; two empty sketches are alike (1), an empty and another are not (0);
+of a union is the union of the sketches.  Short documents may have no hash that
+low.  Beside the sketch, and no part of it, is the smallest hash of all shingles;
+it alone tells documents with empty sketches apart.
+
+Defined results: a null text is an empty one and has no smallest hash; fewer
+than five words form one shingle; two empty sketches are alike (1) if their
+smallest hashes are equal, and else not (0), as an empty and another are not;
+containment of an empty sketch is null, but 1 for a text without words;
 repeated rows have equal fingerprints; in ``with_next`` the order is doc_id
 (null first), then text, and the next of the last document is the first, so a
 lone document is its own next; an empty table gives an empty result; extra
@@ -24,7 +26,7 @@ from pyspark.sql.window import Window as W
 WORDS = 5
 #: Hashes with so many leading zero bits are kept: one in eight.
 ZERO_BITS = 3
-#: Documents in a stretch of the order, and stretches at most.
+#: Documents in a stretch of the order, and stretches at most; beyond 262 million documents stretches grow, and their tasks spill.
 STRETCH, STRETCHES = 4_000, 65_536
 LOWEST = -(1 << 63)
 
@@ -35,7 +37,7 @@ def word_hashes(text: Column) -> Column:
 
 
 def with_sketch(df: DataFrame, text: str, sketch: str, words: int = WORDS, zero_bits: int = ZERO_BITS) -> DataFrame:
-    """``df`` with the sorted kept hashes of ``text``.
+    """``df`` with the sorted kept hashes of ``text``, and in ``<sketch>_least`` the smallest of all.
 
     The steps are columns of their own, used more than once each, so that
     Catalyst computes them once a row and not once a shingle.
@@ -47,8 +49,8 @@ def with_sketch(df: DataFrame, text: str, sketch: str, words: int = WORDS, zero_
     return (
         df.withColumn(hashes, word_hashes(F.col(text)))
         .withColumn(shingles, F.when(n >= words, rolled).when(n > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<bigint>")))
-        .withColumn(sketch, low)
-        .withColumn(sketch, F.when((F.size(sketch) > 0) | (F.size(shingles) == 0), F.array_sort(sketch)).otherwise(F.array(F.array_min(shingles))))
+        .withColumn(sketch, F.array_sort(low))
+        .withColumn(f"{sketch}_least", F.array_min(shingles))
         .drop(hashes, shingles)
     )
 
@@ -58,19 +60,23 @@ def merged(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_union(a, b))
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, least_a: Column | None = None, least_b: Column | None = None) -> Column:
     """Estimated share of common shingles among all of both."""
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    same = F.lit(True) if least_a is None or least_b is None else least_a.eqNullSafe(least_b)
+    empty = (F.size(a) == 0) & (F.size(b) == 0)
+    return F.when(empty, same.cast("double")).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the shingles of ``a`` that are in ``b``."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def containment(a: Column, b: Column, least_a: Column | None = None) -> Column:
+    """Estimated share of the shingles of ``a`` that are in ``b``; null where the sketch of ``a`` is empty though it has words."""
+    wordless = F.lit(True) if least_a is None else least_a.isNull()
+    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).when(wordless, F.lit(1.0))
 
 
-def printed(sketch: Column) -> Column:
-    """The sketch as hexadecimal digits, sixteen for each hash."""
-    return F.lower(F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
+def printed(sketch: Column, least: Column) -> Column:
+    """The sketch as hexadecimal digits, sixteen for each hash; of an empty one, the smallest hash after a hyphen."""
+    digits = lambda h: F.lpad(F.hex(h), 16, "0")
+    return F.lower(F.when(F.size(sketch) > 0, F.array_join(F.transform(sketch, digits), "")).otherwise(F.coalesce(F.concat(F.lit("-"), digits(least)), F.lit(""))))
 
 
 def stretch_starts(keys: DataFrame) -> list[int]:
@@ -114,9 +120,9 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataF
 def edited_documents(docs: DataFrame) -> DataFrame:
     """Sketches of every text, of the next one's, and of the text whose second half the next one's beginning replaces."""
     own = with_sketch(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "sketch")
-    led = with_next(own, ["text", "sketch"])
+    led = with_next(own, ["text", "sketch", "sketch_least"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next_text").substr(F.lit(1), half))
-    out = led.select("doc_id", n.cast("long").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
+    out = led.select("doc_id", n.cast("long").alias("n_chars"), "sketch", "sketch_least", "next_sketch", "next_sketch_least", edited.alias("edited"))
     return with_sketch(out, "edited", "edited_sketch")
