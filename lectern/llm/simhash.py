@@ -44,6 +44,8 @@ BITS = 64
 BLOCK = 50_000
 #: Own fingerprints that a prefix may hold before it is lengthened, and by how many bits at a time.
 FULL, STEP = 512, 4
+#: Longest prefix to begin with, longest of all, and how many prefixes may travel with a task.
+FIRST_BITS, LAST_BITS, SHIPPED = 40, 48, 100_000
 
 
 def fingerprint_of(text: str | None, words: int = WORDS) -> int:
@@ -127,65 +129,102 @@ def collisions(fps: np.ndarray, left: np.ndarray, bits: int) -> tuple[np.ndarray
     return owner[same], owner[same + 1]
 
 
-def expand(key_bits: int, half: int, hot: dict[int, set[int]]):
+def lengthened(own: np.ndarray, variant: np.ndarray, left: np.ndarray, done: int, bits: int):
+    """Rows of prefixes of ``done`` bits -> those of ``bits`` bits: fingerprints, flipped ones, flips left, prefixes."""
+    out = [], [], []
+    for w in np.unique(left).tolist():
+        of = np.flatnonzero(left == w)
+        masks, cost = prefix_flips(bits - done, w)
+        masks = masks >> np.uint64(done)
+        out[0].append(np.repeat(own[of], len(masks)))
+        out[1].append((variant[of, None] ^ masks[None, :]).ravel())
+        out[2].append((w - np.tile(cost, len(of))).astype(np.uint8))
+    own, variant, left = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in zip(out, (np.uint64, np.uint64, np.uint8), strict=True))
+    return own, variant, left, (variant >> np.uint64(BITS - bits) | (np.uint64(1) << np.uint64(bits))).view(np.int64)
+
+
+def expand(key_bits: int, half: int, hot: dict[int, np.ndarray]):
     """Turns fingerprints into (key, fingerprint) rows; ``hot`` has, by length, the prefixes to be lengthened."""
 
     def keys_of(fps: np.ndarray):
         todo = [(fps, fps.copy(), np.full(len(fps), half, np.uint8), 0, key_bits)]
         while todo:
-            own, variant, left, done, bits = todo.pop()
-            out_own, out_variant, out_left = [], [], []
-            for w in np.unique(left).tolist():
-                of = np.flatnonzero(left == w)
-                span = bits - done
-                masks, cost = prefix_flips(span, w)
-                masks = masks >> np.uint64(done)
-                out_own.append(np.repeat(own[of], len(masks)))
-                out_variant.append((variant[of, None] ^ masks[None, :]).ravel())
-                out_left.append((w - np.tile(cost, len(of))).astype(np.uint8))
-            own, variant, left = np.concatenate(out_own), np.concatenate(out_variant), np.concatenate(out_left)
-            prefix = variant >> np.uint64(BITS - bits)
-            longer = np.isin(prefix, np.fromiter(hot[bits], np.uint64, len(hot[bits]))) if hot.get(bits) else np.zeros(len(prefix), bool)
+            *rows, done, bits = todo.pop()
+            own, variant, left, key = lengthened(*rows, done, bits)
+            longer = np.isin(key, hot[bits]) if bits in hot else np.zeros(len(key), bool)
             if longer.any():
                 todo.append((own[longer], variant[longer], left[longer], bits, bits + STEP))
-            stay = ~longer
-            yield (prefix[stay] | (np.uint64(1) << np.uint64(bits))).view(np.int64), own[stay].view(np.int64)
+            yield key[~longer], own[~longer].view(np.int64)
 
     return keys_of
 
 
-def hot_prefixes(distinct: DataFrame, key_bits: int, full: int = FULL) -> dict[int, set[int]]:
-    """Prefixes with more than ``full`` fingerprints of their own, by length.
-
-    There are at most (number of fingerprints / full) of each length, and a
-    length has no more than the one before it can explain.
+def joined(distinct: DataFrame, key_bits: int, half: int, hot: DataFrame, longest: int) -> DataFrame:
+    """What ``expand`` does, with the prefixes to be lengthened in a table (``key``) of any size."""
+    schema, done = "own long, variant long, left byte, key long", 0
+    rows = distinct.select(F.col("fp").alias("own"), F.col("fp").alias("variant"), F.lit(half).cast("byte").alias("left"))
+    out = None
+    for bits in range(key_bits, longest + STEP + 1, STEP):
+
+        def step(batches, done=done, bits=bits):
+            for batch in batches:
+                own, variant, left = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+                for at in range(0, len(own), 2_000):
+                    part = slice(at, at + 2_000)
+                    a, b, c, d = lengthened(own[part].view(np.uint64), variant[part].view(np.uint64), left[part].view(np.uint8), done, bits)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), b.view(np.int64), c.view(np.int8), d)], names=["own", "variant", "left", "key"])
+
+        made = rows.mapInArrow(step, schema)
+        if bits > longest:
+            return out.union(made.select("key", F.col("own").alias("fp")))
+        marked = materialize(made.join(hot.select("key", F.lit(True).alias("longer")), "key", "left"), "simhash-variants")
+        stays = marked.where(F.col("longer").isNull()).select("key", F.col("own").alias("fp"))
+        out = stays if out is None else out.union(stays)
+        rows, done = marked.where("longer").select("own", "variant", "left"), bits
+
+
+def hot_prefixes(distinct: DataFrame, key_bits: int, full: int = FULL) -> tuple[DataFrame | None, int, int]:
+    """Prefixes (as ``key``, and their length ``bits``) with more than ``full`` fingerprints of their own, their number, and the longest length.
+
+    A length is looked at only where the one before it has such prefixes, and then
+    among their fingerprints only; the table has at most one row in ``full``
+    fingerprints for each length.
     """
-    hot: dict[int, set[int]] = {}
-    rows = distinct
-    for bits in range(key_bits, BITS - 15, STEP):
-        rows = rows.withColumn("prefix", F.shiftrightunsigned("fp", BITS - bits))
-        found = [r[0] for r in rows.groupBy("prefix").count().where(F.col("count") > full).select("prefix").collect()]
-        if not found or len(found) > 100_000:
+    found, number, longest, rows = None, 0, 0, distinct.select("fp")
+    for bits in range(key_bits, LAST_BITS + 1, STEP):
+        key = F.shiftrightunsigned("fp", BITS - bits).bitwiseOR(F.lit(1 << bits)).alias("key")
+        keyed = rows.select("fp", key)
+        now = materialize(keyed.groupBy("key").count().where(F.col("count") > full).select("key", F.lit(bits).alias("bits")), "simhash-hot")
+        if not (n := now.count()):
             break
-        hot[bits] = set(found)
-        rows = rows.where(F.col("prefix").isin(found)) if len(found) <= 500 else rows
-    return hot
+        found, number, longest = now if found is None else found.union(now), number + n, bits
+        rows = keyed.join(now, "key", "left_semi").select("fp")
+    return found, number, longest
 
 
 def link_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``fp`` (distinct longs) -> edges ``a, b`` whose components are those of all links within ``radius`` bits."""
     n = distinct.count()
     half = (radius + 1) // 2
-    key_bits = int(min(24, max(8, np.ceil(np.log2(max(n, 1) / 128)))))
-    hot = hot_prefixes(distinct, key_bits)
-
-    def emit(batches):
-        keys_of = expand(key_bits, half, hot)
-        for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(fps), 2_000):
-                for keys, own in keys_of(fps[at : at + 2_000]):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own)], names=["key", "fp"])
+    key_bits = int(min(FIRST_BITS, max(8, np.ceil(np.log2(max(n, 1) / 128)))))
+    table, number, longest = hot_prefixes(distinct, key_bits)
+    if number > SHIPPED:
+        rows = joined(distinct, key_bits, half, table, longest)
+    else:
+        hot: dict[int, list[int]] = {}
+        for r in table.collect() if number else ():
+            hot.setdefault(r.bits, []).append(r.key)
+        hot = {bits: np.array(sorted(keys), np.int64) for bits, keys in hot.items()}
+
+        def emit(batches):
+            keys_of = expand(key_bits, half, hot)
+            for batch in batches:
+                fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                for at in range(0, len(fps), 2_000):
+                    for keys, own in keys_of(fps[at : at + 2_000]):
+                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own)], names=["key", "fp"])
+
+        rows = distinct.select("fp").mapInArrow(emit, "key long, fp long")
 
     def meet(batches):
         for key, fps in grouped(batches):
@@ -202,7 +241,6 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
                 a, b = forest(a[near], b[near])
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    rows = distinct.select("fp").mapInArrow(emit, "key long, fp long")
     dealt = rows.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(meet, "a long, b long")
 
@@ -226,6 +264,14 @@ def grouped(batches):
         yield key, np.concatenate(parts)
 
 
+def one_row_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``kept``; of rows repeated under one id the one with the smallest text, then the smallest other columns."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.struct("text", F.to_json(F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(others)])) if others else F.lit(""))
+    row = F.min_by(F.struct(*docs.columns), order).alias("row")
+    return docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(row).select("row.*")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fp, component_id``: one row per document."""
     marked = materialize(fingerprints(docs, words), "simhash-fps")
@@ -243,5 +289,4 @@ def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataF
     """One document of each group: the smallest doc_id.  Rows repeated under that id are one document; rows without id stay."""
     found = near_duplicates(docs.select("doc_id", "text"), words, radius)
     kept = found.where((F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    return one_row_each(docs, kept).unionByName(docs.where(F.col("doc_id").isNull()))

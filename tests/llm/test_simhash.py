@@ -3,9 +3,11 @@ import re
 
 import numpy as np
 import xxhash
+from conftest import SF
 
 from lectern.llm import simhash
 from lectern.llm.components import connected_components
+from lectern.llm.queries_simhash import op4_simhash
 from lectern.llm.simhash import link_fingerprints
 
 
@@ -71,6 +73,31 @@ def test_full_prefixes_are_lengthened(spark, monkeypatch):
     assert same_partition(components_of(spark, fps), plain_components(fps))
 
 
+def test_prefixes_that_are_too_many_to_travel(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHIPPED", 0)
+    monkeypatch.setattr(simhash.hot_prefixes, "__defaults__", (4,))
+    rng = random.Random(2)
+    base = rng.getrandbits(64)
+    fps = sorted({base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(120)} | set(near_family(6, 60)))
+    assert same_partition(components_of(spark, fps), plain_components(fps))
+
+
+def test_of_rows_with_one_id_the_same_stays(spark, make_docs):
+    rows = [(1, "b c d e"), (1, "a c d e"), (1, None), (2, "x y z w v"), (2, "x y z w v")]
+    for order in (rows, rows[::-1]):
+        kept = {r.doc_id: r.text for r in simhash.keep_one(make_docs(*order)).collect()}
+        assert kept == {1: None, 2: "x y z w v"}
+
+
+def test_query_equals_brute_force(spark):
+    rows = op4_simhash(spark, SF).collect()
+    docs = sorted((d.doc_id, d.text) for d in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    fps = [plain_fingerprint(t) for _, t in docs]
+    ids = [i for i, _ in docs]
+    want = {i: (f"{f:016x}", ids[c]) for i, f, c in zip(ids, fps, plain_components(fps), strict=True)}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in rows} == want and len(rows) == len(docs)
+
+
 def test_odd_rows(spark, odd_docs):
     rows = simhash.near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
