@@ -57,3 +57,28 @@ def test_odd_rows(spark):
     assert len(got) == 11 and got[1] == (2, 1, True) and got[2] == (2, 1, False) and got[10] == (2, 1, False)
     assert all(got[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9)) and got[None] == (0, None, False)
     assert near_duplicates(table(spark, [])).count() == 0
+
+
+def test_traversal_visits_all_cells_within_the_bound_nearest_first():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = embedding_dups.build(x, 300 * 640, 0.9, 0.98)
+    home, rows, cells = index.traversal(x)
+    _, near_a = index.left.places(x[:, :8])
+    _, near_b = index.right.places(x[:, 8:])
+    sums = (near_a[:, :, None] + near_b[:, None, :]).reshape(300, -1)
+    assert len(index.left.words) > 10 and index.recall >= 0.98
+    for r in range(300):
+        own = cells[rows == r]
+        assert set(own) == set(np.flatnonzero(sums[r] <= index.bound)) and (np.diff(sums[r][own]) >= 0).all()
+    same, below, visited = index.visits(x)
+    want = {(r, c) for r, c in zip(rows.tolist(), cells.tolist(), strict=True) if c < home[r]}
+    assert (same == home).all() and set(zip(below.tolist(), visited.tolist(), strict=True)) == want
+
+
+def test_codebooks_grow_with_the_table():
+    x = np.random.default_rng(4).standard_normal((2_000, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    sizes = [len(embedding_dups.build(x, n, 0.9, 0.9).left.words) for n in (10**4, 10**6, 10**8, 10**10)]
+    assert sizes == sorted(sizes) and sizes[2] == 395 and sizes[3] > 256
