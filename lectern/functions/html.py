@@ -42,12 +42,6 @@ LATER_WORD_RULES = (
     (rf"(?i)<v:shape[^>]*>{ANY}*?</v:shape>", ""), (rf"(?i)(?:<p[^>]*>(?:&nbsp;|{SPACE})*+</p>{SPACE}*+){{3,}}", "<p>&nbsp;</p>"),
     (rf'(?i)<b{SPACE}+style="[^"]*font-weight:{SPACE}*normal[^"]*">({ANY}*?)</b>', "$1"),
 )
-PASTE_RULES = (
-    (r"(?s)<!--.*?-->", ""), (r"(?is)<(?:meta|link)\b[^>]*>", ""), (r"(?is)<(style|script|xml)\b[^>]*>.*?</\1>", ""), (r"(?is)</?(?:o|w|m|v|st1):[^>]*>", ""),
-    (r"(?i)\s+class=(?:\"Mso[^\"]*\"|'Mso[^']*'|Mso[A-Za-z0-9]*)", ""), (r"(?i)\s+style=(?:\"[^\"]*\"|'[^']*')", ""), (r"(?i)\s+lang=(?:\"[^\"]*\"|[A-Za-z-]+)", ""),
-    (r"(?is)<span>(.*?)</span>", "$1"), (r"(?i)<b(?=[\s>])", "<strong"), (r"(?i)</b>", "</strong>"), (r"(?i)<i(?=[\s>])", "<em"), (r"(?i)</i>", "</em>"),
-    (r"(?i)<p[^>]*>(?:\s|&nbsp;|\x{00a0})*</p>", ""),
-)
 
 
 def count(text: Column, pattern: str) -> Column:
@@ -111,11 +105,3 @@ def word_html(html: Column) -> Column:
     for pattern, by in LATER_WORD_RULES:
         html = F.regexp_replace(html, pattern, by)
     return html
-
-
-def cleaned_paste(html: Column) -> Column:
-    """Office markup after ``word_html``, reduced to plain elements, rule by rule; no style and no blank paragraph stays."""
-    html = word_html(html)
-    for pattern, by in PASTE_RULES:
-        html = F.regexp_replace(html, pattern, by)
-    return html

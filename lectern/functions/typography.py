@@ -91,6 +91,36 @@ def imported_text(text: Column) -> Column:
     return initials(normalize(F.regexp_replace(blanks, rf"[ \t]+({PUNCTUATION})", "$1")))
 
 
+#: Formulas and images, which typography leaves alone, and the character that stands for one meanwhile.
+PROTECTED = r'(?is)<span\b(?=[^>]*\bclass="[^"]*\bmath-inline\b[^"]*")[^>]*>.*?</span>|<div\b(?=[^>]*\bclass="[^"]*\bmath-block\b[^"]*")[^>]*>.*?</div>|<img\b[^>]*>'
+HELD = "\ue000"
+
+
+def imported_markup(html: Column) -> Column:
+    """What the inside of a paragraph becomes on import: its text nodes, their edges and the blanks across tags; formulas and images stay."""
+    held = F.regexp_extract_all(html, F.lit(PROTECTED), F.lit(0))
+    open_html = F.regexp_replace(html, PROTECTED, HELD)
+    tags = F.regexp_extract_all(open_html, F.lit("(<[^>]+>)"), 1)
+    texts = F.transform(F.split(open_html, "<[^>]+>"), imported_text)
+    # The first text that is not empty loses its leading blanks, the last one those at its end.
+    solid = F.filter(F.sequence(F.lit(0), F.size(texts) - 1), lambda i: F.get(texts, i) != "")
+    first, last = F.get(solid, F.lit(0)), F.try_element_at(solid, F.lit(-1))
+    trimmed = F.transform(texts, lambda t, i: F.when(i == first, F.regexp_replace(t, "^[ \t]+", "")).otherwise(t))
+    trimmed = F.transform(trimmed, lambda t, i: F.when(i == last, F.regexp_replace(t, "[ \t]+$", "")).otherwise(t))
+
+    def joined(done: Column, text: Column) -> Column:
+        before = F.try_element_at(done, F.lit(-1))
+        bare = F.regexp_replace(text, rf"^[ \t]+({PUNCTUATION})", "$1")
+        after_blank = F.coalesce(before.rlike("[ \t]$"), F.lit(False))
+        one = F.when(F.size(done) == 0, bare).when(after_blank, F.regexp_replace(bare, "^[ \t]+", "")).otherwise(F.regexp_replace(bare, "^[ \t]{2,}", " "))
+        return F.array_append(done, F.when(text == "", text).otherwise(one))
+
+    texts = F.when(F.size(solid) > 0, F.aggregate(trimmed, F.array().cast("array<string>"), joined)).otherwise(texts)
+    whole = F.array_join(F.zip_with(texts, tags, lambda t, tag: F.concat(t, F.coalesce(tag, F.lit("")))), "")
+    parts = F.split(whole, HELD)
+    return F.array_join(F.zip_with(parts, held, lambda part, own: F.concat(part, F.coalesce(own, F.lit("")))), "")
+
+
 def plain_paragraph(inner: Column) -> Column:
     """A paragraph's text without tags, hard blanks decoded, trimmed."""
     bare = F.regexp_replace(F.regexp_replace(inner, "<[^>]+>", ""), "&nbsp;|&#160;", NBSP)

@@ -54,34 +54,26 @@ def report_caption_before(text: Column, key: str, idx: str, reach: int = 3) -> C
 
 
 def claimed_captions(df: DataFrame, key: str, idx: str, kind: str, text: str, forward: int = 3, backward: int = 4) -> DataFrame:
-    """Each image with its caption: the next one, else the one before if no other image took it.
+    """``key, idx, caption_idx``: each image with its caption, or null.
 
-    A fold over the rows of a document keeps the captions that are taken.
+    Images and captions that alternate with little but blank rows between them
+    form a chain; whichever comes first takes the next, so a chain falls into
+    pairs from its beginning.  An image left over takes the caption a row farther
+    back, if that is left over too.
     """
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(idx).cast("long").alias("idx"), F.col(kind).alias("kind"), F.col(text).alias("text")))).alias("rows"))
-    start = F.struct(F.array().cast("array<long>").alias("taken"), F.array().cast("array<struct<idx:long,caption_idx:long>>").alias("found"))
-
-    def near(i: Column, steps: range) -> Column:
-        """Row number of the caption on one side, or null."""
-        out = F.lit(None).cast("long")
-        for k in reversed(steps):
-            row = F.get(F.col("rows"), (i + k).cast("int"))
-            blank = (row["kind"] == "paragraph") & (row["text"] == "")
-            caption = (row["kind"] == "paragraph") & X.is_caption_of_block(row["text"])
-            out = F.when(row.isNull(), F.lit(None).cast("long")).when(blank, out).when(caption, (i + k).cast("long"))
-        return out
-
-    def step(state: Column, i: Column) -> Column:
-        ahead, back = near(i, range(1, forward + 1)), near(i, range(-1, -backward - 1, -1))
-        free = lambda at: F.when(~F.array_contains(state["taken"], at), at)
-        best = F.coalesce(free(ahead), free(back))
-        image = F.get(F.col("rows"), i)["kind"] == "image"
-        own = F.struct(F.get(F.col("rows"), i)["idx"].alias("idx"), F.get(F.col("rows"), best.cast("int"))["idx"].alias("caption_idx"))
-        taken = F.when(best.isNotNull(), F.array_append(state["taken"], best)).otherwise(state["taken"])
-        return F.when(image, F.struct(taken.alias("taken"), F.array_append(state["found"], own).alias("found"))).otherwise(state)
-
-    places = F.transform(F.sequence(F.lit(1), F.size("rows")), lambda n: n - 1)
-    return rows.select(key, F.inline(F.aggregate(places, start, step)["found"]))
+    w, row = ordered(key, idx), F.row_number().over(ordered(key, idx))
+    what = F.when(F.col(kind) == "image", "image").when((F.col(kind) == "paragraph") & X.is_caption_of_block(F.col(text)), "caption").when((F.col(kind) != "paragraph") | (F.col(text) != ""), "other")
+    solid = df.select(key, idx, what.alias("what"), row.alias("row")).where(F.col("what").isNotNull())
+    apart, other = F.col("row") - F.lag("row").over(w), F.lag("what").over(w)
+    pair = F.array_contains(F.array(F.lit("image caption"), F.lit("caption image")), F.concat_ws(" ", "what", other))
+    linked = solid.withColumn("linked", F.coalesce(pair & (apart <= forward), F.lit(False))).withColumn("far", F.coalesce((other == "caption") & (apart <= backward), F.lit(False)))
+    chained = linked.withColumn("chain", F.sum((~F.col("linked")).cast("int")).over(running(key, idx)))
+    placed = chained.withColumn("second", F.row_number().over(W.partitionBy(key, "chain").orderBy(idx)) % 2 == 0)
+    before, after = F.lag(idx).over(w), F.lead(idx).over(w)
+    takes = ~F.col("second") & F.coalesce(F.lead("linked").over(w), F.lit(False))
+    spare = F.col("far") & ~F.col("linked") & ~F.lag("second").over(w)
+    found = placed.withColumn("caption_idx", F.when(F.col("second"), before).when(takes, after).when(spare, before))
+    return found.where(F.col("what") == "image").select(key, idx, "caption_idx")
 
 
 def sections(df: DataFrame, key: str, idx: str, heading_type: str) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from lectern.functions.html import LOWER_IS_BETTER, METRICS
+from lectern.functions.html import LOWER_IS_BETTER, METRICS, count
 
 # Metrics of formula quality for which more is better; less is better for all others.
 QUALITY_HIGHER = ("formulas_total", "figure_count", "metadata_completeness_pct", "bilingual_extraction_score")
@@ -70,10 +69,9 @@ def reconcile(equations: DataFrame, emitted: DataFrame) -> DataFrame:
     difference; equations without any are left out.
     """
     flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
-    first = lambda by: F.row_number().over(W.partitionBy("doc", by).orderBy("pos"))
-    keep = F.struct(F.col("label").alias("label"), F.col("latex").alias("latex")).alias("block")
-    by_target = emitted.where(F.col("target").isNotNull()).withColumn("n", first("target")).where("n = 1").select("doc", "target", keep)
-    by_hash = emitted.withColumn("hash", short_hash(flat(F.col("latex")))).withColumn("n", first("hash")).where("n = 1").select("doc", "hash", keep.alias("hash_block"))
+    block = F.min_by(F.struct("label", "latex"), "pos")
+    by_target = emitted.where(F.col("target").isNotNull()).groupBy("doc", "target").agg(block.alias("block"))
+    by_hash = emitted.groupBy("doc", short_hash(flat(F.col("latex"))).alias("hash")).agg(block.alias("hash_block"))
     found = (
         equations.withColumn("hash", short_hash(flat(F.col("latex"))))
         .join(by_target, ["doc", "target"], "left")
@@ -108,6 +106,58 @@ def checked_baseline(files: DataFrame, least: int = LEAST_FILES, error: str = "p
     return files
 
 
+def checked_quality(files: DataFrame, metrics, least: int = LEAST_FILES, error: str = "parse_error") -> DataFrame:
+    """The totals of ``quality_totals``, or an error if they are worthless: too few files, none read, or nothing but zeros."""
+    totals = quality_totals(checked_baseline(files, least, error), metrics, error)
+    if not any(totals.first()):
+        raise ValueError("the totals are all zero")
+    return totals
+
+
+def read_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """A baseline: rows of JSON as ``write_baseline`` leaves them, or one document with its rows under ``results``."""
+    rows = spark.read.option("multiLine", "true").json(path) if path.endswith(".json") else spark.read.json(path)
+    return rows.select(F.inline("results")) if "results" in rows.columns else rows
+
+
+def in_order(files: DataFrame, key: str = "file") -> DataFrame:
+    """Files in the order of their names' code points."""
+    return files.orderBy(F.col(key))
+
+
+def first_failures(files: DataFrame, key: str = "file", error: str = "parse_error", most: int = 10) -> DataFrame:
+    """The first files that failed, in order of their names."""
+    return files.where(F.col(error).isNotNull()).select(key, error).orderBy(key).limit(most)
+
+
+def natural_rank(items: DataFrame, name: str = "name") -> DataFrame:
+    """``items`` with ``number``, the first number in the name; ordered by it, then by the name."""
+    return items.withColumn("number", F.nullif(F.regexp_extract(name, "([0-9]+)", 1), F.lit("")).cast("long")).orderBy("number", name)
+
+
+def header_totals(documents: DataFrame, key: str = "doc", html: str = "html") -> DataFrame:
+    """``key, formulas_block, formulas_inline, figures, tables``: what an artifact's header counts in the markup."""
+    counted = {
+        "formulas_block": r'<[a-z]+\b[^>]*class="(?:[^"]*\s)?math-block[\s"]', "formulas_inline": r'<[a-z]+\b[^>]*class="(?:[^"]*\s)?math-inline[\s"]',
+        "figures": r'<figure\b[^>]*class="(?:[^"]*\s)?figure-block[\s"]', "tables": r"<table(?![A-Za-z0-9_])",
+    }
+    return documents.select(key, *[count(F.col(html), pattern).alias(name) for name, pattern in counted.items()])
+
+
+def gate(regressions: DataFrame) -> int:
+    """0 if nothing got worse, else 1: the exit code of a comparison."""
+    return int(bool(regressions.where(F.col("verdict") == "regression").limit(1).count()))
+
+
+def report_lines(regressions: DataFrame, key: str = "file") -> DataFrame:
+    """A line of text for each change, those for the worse first."""
+    number = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.0$", "")
+    sign = F.when(F.col("delta") >= 0, "+").otherwise("")
+    change = F.when(F.col("delta").isNull(), F.col("metric")).otherwise(F.concat("metric", F.lit(": "), number("before"), F.lit(" → "), number("after"), F.lit(" ("), sign, number("delta"), F.lit(")")))
+    line = F.concat(F.upper("verdict"), F.lit(": "), F.col(key).cast("string"), F.lit(" — "), change)
+    return regressions.orderBy(F.desc("verdict"), key, "metric").select(line.alias("line"))
+
+
 def write_baseline(files: DataFrame, path: str) -> None:
     checked_baseline(files).write.mode("overwrite").json(path)
 

@@ -153,6 +153,10 @@ def heading_ids(headings: DataFrame, key: str, idx: str, text: str, level: str)
 # --- export ---------------------------------------------------------------------------------------------------------
 
 
+# Fixed value: what stands for an image that the source did not have.
+NO_IMAGE = '<div class="figure-placeholder" data-needs-image="true">⚠ Изображение не вложено в DOCX. Добавьте вручную через панель.</div>'
+
+
 def marked(html: str, marks: list[dict]) -> str:
     for mark in sorted(marks, key=lambda m: m["type"]):
         attrs, kind = mark.get("attrs") or {}, mark["type"]
@@ -166,8 +170,21 @@ def marked(html: str, marks: list[dict]) -> str:
     return html
 
 
+def attributes(**values) -> str:
+    """Attributes that have a value, in order; a trailing underscore of a name goes, others become hyphens."""
+    return "".join(f' {name.rstrip("_").replace("_", "-")}="{escaped(str(v))}"' for name, v in values.items() if v not in (None, ""))
+
+
+def element(tag: str, inner: str, **values) -> str:
+    return f"<{tag}{attributes(**values)}>{inner}</{tag}>"
+
+
+def image(a: dict, cls: str, **more) -> str:
+    return f'<img class="{cls}" src="{escaped(a.get("src") or "")}" alt="{escaped(a.get("alt") or "")}"{attributes(title=a.get("title"), **more)}>'
+
+
 class Html:
-    """Serializes a tree; formulas as LaTeX."""
+    """Serializes a tree; formulas as LaTeX.  Kinds of nodes without a method of their own leave nothing."""
 
     def __init__(self):
         self.headings = 0
@@ -175,8 +192,13 @@ class Html:
     def text_of(self, node: dict) -> str:
         return node.get("text") or "".join(map(self.text_of, node.get("content") or []))
 
+    def each(self, node: dict, *kinds: str):
+        return [kid for kid in node.get("content") or [] if not kinds or kid["type"] in kinds]
+
+    # --- inline ------------------------------------------------------------------------------------------------------
+
     def inline(self, node: dict) -> str:
-        return "".join(self.inline_node(kid, kid.get("attrs") or {}) for kid in node.get("content") or [])
+        return "".join(self.inline_node(kid, kid.get("attrs") or {}) for kid in self.each(node))
 
     def inline_node(self, kid: dict, a: dict) -> str:
         kind = kid["type"]
@@ -189,68 +211,139 @@ class Html:
             return f'<span class="citation-ref" data-refs="{escaped(",".join(ids))}">[{",".join(str(i + 1) for i in range(len(ids)))}]</span>'
         if kind == "footnote_ref":
             return f'<sup class="footnote-ref" data-fn="{escaped(a.get("footnote_id") or "")}">*</sup>'
-        if kind in ("image", "formula_image_inline"):
-            cls = ' class="formula-image-inline"' if kind != "image" else ""
-            return f'<img{cls} src="{escaped(a.get("src") or "")}" alt="{escaped(a.get("alt") or "")}">'
+        if kind == "image":
+            return image(a, "inline-image")
+        if kind == "formula_image_inline":
+            return image({**a, "title": None}, "formula-image-inline", data_latex_hint=a.get("latex_hint"))
         return "<br>" if kind == "hard_break" else ""
 
+    # --- blocks ------------------------------------------------------------------------------------------------------
+
     def blocks(self, node: dict) -> str:
-        return "".join(map(self.block, node.get("content") or []))
+        return "".join(map(self.block, self.each(node)))
 
     def block(self, node: dict) -> str:
-        a, kind = node.get("attrs") or {}, node["type"]
-        own_id = f' id="{escaped(str(a["id"]))}"' if a.get("id") else ""
-        if kind == "paragraph":
-            style = a.get("styleType")
-            if style == "fig-caption":
-                return f'<figure class="caption-block style-fig-caption"><figcaption>{self.inline(node)}</figcaption></figure>'
-            cls = f' class="style-{escaped(style)}"' if style else ""
-            return f"<p{cls}>{self.inline(node)}</p>"
-        if kind == "heading":
-            level, text = min(4, max(1, a.get("level") or 1)), self.text_of(node).strip()
-            self.headings += 1
-            slug = re.sub(r"^-|-$", "", re.sub(r"[\W_]+", "-", (text or "h").lower()))[:48]
-            name = a.get("id") or (f"{slug}-{self.headings}" if slug else f"h{level}-{self.headings}")
-            section = f' data-section-type="{escaped(a["sectionType"])}"' if a.get("sectionType") else ""
-            return f'<h{level} id="{escaped(str(name))}"{section}>{self.inline(node)}</h{level}>'
-        if kind in ("bullet_list", "ordered_list"):
-            tag = "ul" if kind == "bullet_list" else "ol"
-            start = f' start="{a["order"]}"' if tag == "ol" and a.get("order", 1) != 1 else ""
-            return f"<{tag}{start}>{''.join(f'<li>{self.blocks(i)}</li>' for i in node.get('content') or [])}</{tag}>"
-        if kind == "math_block":
-            label = f'<span class="formula-label">{escaped(str(a["label"]))}</span>' if a.get("label") else ""
-            return f'<div class="formula"{own_id}><div class="formula-body">\\[{escaped(a.get("latex") or "")}\\]</div>{label}</div>'
-        if kind == "figure_block":
-            return f'<figure data-schema-v2 class="figure-block"{own_id}>{self.blocks(node)}</figure>'
-        if kind == "figure_image":
-            return f'<img class="figure-block-img" src="{escaped(a.get("src") or "")}" alt="{escaped(a.get("alt") or "")}">'
-        if kind in ("figcaption", "table_caption"):
-            english, tag = a.get("lang") == "en", "figcaption" if kind == "figcaption" else "div"
-            cls = f"figure-caption-{'en' if english else 'ru'}" if tag == "figcaption" else f"table-caption table-caption-{'en' if english else 'ru'}"
-            return f'<{tag} class="{cls}">{self.inline(node)}</{tag}>'
-        if kind == "table_block":
-            return f'<div class="table-wrap"{own_id}>{self.blocks(node)}</div>'
-        tags = {"blockquote": "blockquote", "table": "table", "table_row": "tr", "table_cell": "td", "table_header": "th"}
-        if kind in tags:
-            return f"<{tags[kind]}>{self.blocks(node)}</{tags[kind]}>"
-        return {"horizontal_rule": "<hr>", "code_block": f"<pre><code>{escaped(self.text_of(node))}</code></pre>"}.get(kind, "")
+        write = getattr(self, f"on_{node['type']}", None)
+        return write(node, node.get("attrs") or {}) if write else ""
+
+    def on_paragraph(self, node: dict, a: dict) -> str:
+        style, inner = a.get("styleType"), self.inline(node)
+        if style == "fig-caption":
+            return f'<figure class="caption-block style-fig-caption"><figcaption>{inner}</figcaption></figure>'
+        if style == "table-caption":
+            return f'<p class="style-table-caption">{inner}</p>'
+        return element("p", inner, id=a.get("id"), lang=a.get("lang"), class_=style and f"style-{style}", style=a.get("align") and f"text-align:{a['align']}")
+
+    def on_heading(self, node: dict, a: dict) -> str:
+        level, text = min(4, max(1, a.get("level") or 1)), self.text_of(node).strip()
+        self.headings += 1
+        slug = re.sub(r"^-|-$", "", re.sub(r"[\W_]+", "-", (text or "h").lower()))[:48]
+        name = a.get("id") or (f"{slug}-{self.headings}" if slug else f"h{level}-{self.headings}")
+        return element(f"h{level}", self.inline(node), id=name, data_section_type=a.get("sectionType"), style=a.get("align") and f"text-align:{a['align']}")
+
+    def on_blockquote(self, node: dict, a: dict) -> str:
+        return element("blockquote", self.blocks(node))
+
+    def on_code_block(self, node: dict, a: dict) -> str:
+        return f"<pre><code>{escaped(self.text_of(node))}</code></pre>"
+
+    def on_horizontal_rule(self, node: dict, a: dict) -> str:
+        return "<hr>"
+
+    def on_bullet_list(self, node: dict, a: dict) -> str:
+        return element("ul", "".join(element("li", self.blocks(i)) for i in self.each(node)))
+
+    def on_ordered_list(self, node: dict, a: dict) -> str:
+        order = a.get("order", 1)
+        return element("ol", "".join(element("li", self.blocks(i)) for i in self.each(node)), start=order if order != 1 else None)
+
+    def on_math_block(self, node: dict, a: dict) -> str:
+        label = f'<span class="formula-label">{escaped(str(a["label"]))}</span>' if a.get("label") else ""
+        return f'<div class="formula"{attributes(id=a.get("id"))}><div class="formula-body">\\[{escaped(a.get("latex") or "")}\\]</div>{label}</div>'
+
+    def on_formula_image_block(self, node: dict, a: dict) -> str:
+        inner = f'<img src="{escaped(a.get("src") or "")}" alt="{escaped(a.get("alt") or "")}" />'
+        return element("figure", inner, class_="formula-image-block", data_id=a.get("id"), data_number=a.get("number"), data_latex_hint=a.get("latex_hint"))
+
+    def on_figure_block(self, node: dict, a: dict) -> str:
+        inner = []
+        for kid in self.each(node, "figure_image", "figcaption"):
+            b = kid.get("attrs") or {}
+            if kid["type"] == "figcaption":
+                english = b.get("lang") == "en"
+                inner.append(element("figcaption", self.inline(kid), class_=f"figure-caption-{'en' if english else 'ru'}", lang="en" if english else None))
+            else:
+                inner.append(NO_IMAGE if b.get("placeholder") else image(b, "figure-block-img"))
+        return f'<figure data-schema-v2 class="figure-block"{attributes(id=a.get("id"))}>{"".join(inner)}</figure>'
+
+    def on_table_block(self, node: dict, a: dict) -> str:
+        tables = self.each(node, "table")
+        captions = [element("div", self.inline(c), class_=f"table-caption table-caption-{'en' if (c.get('attrs') or {}).get('lang') == 'en' else 'ru'}") for c in self.each(node, "table_caption")]
+        return element("div", "".join(captions) + self.on_table(tables[-1], {}), class_="table-wrap", id=a.get("id")) if tables else ""
+
+    def on_figure(self, node: dict, a: dict) -> str:
+        picture = f'<img src="{escaped(a["src"])}" alt="{escaped(a.get("alt") or "")}"{attributes(title=a.get("title"))}>' if a.get("src") else ""
+        captions = [element("figcaption", self.inline(c)) for c in self.each(node, "figcaption")]
+        return element("figure", picture + "".join(captions[-1:]), class_="figure")
+
+    def on_table(self, node: dict, a: dict, caption: str = "") -> str:
+        rows = "".join(element("tr", "".join(map(self.cell, self.each(row)))) for row in self.each(node))
+        return element("table", (element("caption", caption) if caption else "") + element("tbody", rows))
+
+    def cell(self, node: dict) -> str:
+        a = node.get("attrs") or {}
+        spans = {name: a[name] for name in ("colspan", "rowspan") if a.get(name, 1) not in (0, 1, None)}
+        return element("th" if node["type"] == "table_header" else "td", self.blocks(node), **spans)
+
+    # --- whole documents ---------------------------------------------------------------------------------------------
+
+    def title(self, node: dict) -> str:
+        """The first heading of level 1, at any depth, that has a text."""
+        for kid in self.each(node):
+            own = self.text_of(kid).strip() if kid["type"] == "heading" and (kid.get("attrs") or {}).get("level") == 1 else self.title(kid)
+            if own:
+                return own
+        return ""
+
+    def body(self, doc: dict) -> str:
+        """The blocks, one a line: without the heading that the title repeats, tables with the caption just before them."""
+        nodes, title, parts = self.each(doc), self.title(doc), []
+        first = nodes[0] if nodes else {}
+        if title and first.get("type") == "heading" and (first.get("attrs") or {}).get("level") == 1 and self.text_of(first).strip() == title:
+            nodes = nodes[1:]
+        caption = None
+        for node, after in zip(nodes, [*nodes[1:], None], strict=True):
+            if caption is not None:
+                parts.append(self.on_table(node, {}, caption))
+                caption = None
+            elif after and after["type"] == "table" and node["type"] == "paragraph" and (node.get("attrs") or {}).get("styleType") == "table-caption":
+                caption = self.inline(node)
+            else:
+                parts.append(self.block(node))
+        return "\n".join(filter(None, parts))
 
 
 def exported(tree: str | None) -> str | None:
-    """A whole page for a tree in JSON; its title is the first heading of level 1."""
+    """A whole page for a tree in JSON; its title is the first heading of level 1.  Scripts and styles are left to the site that shows it."""
     try:
         doc = json.loads(tree or "")
     except ValueError:
         return None
     html = Html()
-    titles = (html.text_of(n).strip() for n in doc.get("content") or [] if n.get("type") == "heading" and (n.get("attrs") or {}).get("level") == 1)
-    title = escaped(next(filter(None, titles), "Document"))
+    title = escaped(html.title(doc) or "Document")
     return (
-        f'<!DOCTYPE html>\n<html lang="ru">\n<head>\n<meta charset="UTF-8">\n<title>{title}</title>\n</head>\n<body>\n<article class="publication">\n'
-        f'<header class="doc-meta">\n<h1>{title}</h1>\n</header>\n<main>\n{html.blocks(doc)}\n</main>\n</article>\n</body>\n</html>'
+        f'<!DOCTYPE html>\n<html lang="ru">\n<head>\n<meta charset="UTF-8">\n<meta name="viewport" content="width=device-width, initial-scale=1.0">\n<title>{title}</title>\n</head>\n<body>\n'
+        f'<article class="publication">\n<header class="doc-meta">\n<h1>{title}</h1>\n<p class="doc-authors"></p>\n<p class="doc-abstract"></p>\n<p class="doc-keywords"></p>\n</header>\n'
+        f'<main>\n{html.body(doc)}\n</main>\n<footer class="doc-bibliography"></footer>\n</article>\n</body>\n</html>'
     )
 
 
+def write_pages(documents: DataFrame, path: str, key: str = "doc", tree: str = "tree") -> None:
+    """Each document as a page of HTML in a folder of its key; trees that are no JSON are left out."""
+    pages = documents.select(F.col(key).alias("doc"), export_html(F.col(tree)).alias("value")).where(F.col("value").isNotNull())
+    pages.write.mode("overwrite").partitionBy("doc").option("lineSep", "\n").text(path)
+
+
 def export_html(tree: Column) -> Column:
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:

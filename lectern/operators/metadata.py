@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.functions.jsregex import FOLD, RIGHT, SPACE
 from lectern.functions.typography import collapse_white_space
-from lectern.operators.captions import ordered, running
+from lectern.operators.captions import running
 
 # What separates the parts of an abstract, and where each goes.
 MARKERS = (
@@ -96,15 +96,12 @@ def styled_preamble(blocks: DataFrame, key: str = "doc", idx: str = "idx") -> Da
     second = F.sum((F.col("style") == "title").cast("int")).over(running(key, idx)) >= 2
     lang = F.when(second, "en").otherwise("ru")
     marked = blocks.withColumn("lang", lang)
-    pick = lambda style, lang: F.first(F.when((F.col("style") == style) & (F.col("lang") == lang), F.col("text")), ignorenulls=True)
-    first = lambda value: F.first(F.nullif(value, F.lit("")), ignorenulls=True)
-    return (
-        marked.withColumn("__rank", F.row_number().over(ordered(key, idx))).groupBy(key).agg(
-            pick("title", "ru").alias("title_ru"), pick("title", "en").alias("title_en"), pick("author", "ru").alias("authors_ru"), pick("author", "en").alias("authors_en"),
-            pick("affiliation", "ru").alias("affiliation_ru"), first(F.when(F.col("style") == "udk", X.udc(F.col("text")))).alias("udc"),
-            first(F.when(F.col("style").isin("email", "affiliation"), X.affiliation_email(F.col("text")))).alias("email"),
-            first(X.doi(F.col("text"))).alias("doi"), pick("abstract", "ru").alias("abstract_ru"), pick("abstract", "en").alias("abstract_en"), pick("keywords", "ru").alias("keywords_ru"), pick("keywords", "en").alias("keywords_en"),
-        )
+    first = lambda value: F.min_by(F.nullif(value, F.lit("")), F.when(F.nullif(value, F.lit("")).isNotNull(), F.col(idx)))
+    pick = lambda style, lang: first(F.when((F.col("style") == style) & (F.col("lang") == lang), F.col("text")))
+    both = [pick(style, lang).alias(f"{name}_{lang}") for style, name in (("title", "title"), ("author", "authors"), ("abstract", "abstract"), ("keywords", "keywords")) for lang in ("ru", "en")]
+    return marked.groupBy(key).agg(
+        *both, pick("affiliation", "ru").alias("affiliation_ru"), first(F.when(F.col("style") == "udk", X.udc(F.col("text")))).alias("udc"),
+        first(F.when(F.col("style").isin("email", "affiliation"), X.affiliation_email(F.col("text")))).alias("email"), first(X.doi(F.col("text"))).alias("doi"),
     )
 
 

@@ -134,3 +134,19 @@ def without_caption_list(blocks: DataFrame, key: str = "doc", idx: str = "idx")
     seen = F.max(marker.cast("int")).over(running(key, idx)) == 1
     listed = marker | ((F.col("kind") == "paragraph") & ((F.col("text") == "") | X.is_caption_of_block(F.col("text"))))
     return blocks.withColumn("__gone", seen & listed).where(~F.col("__gone")).drop("__gone")
+
+
+def tail_labels(tail: Column, n: Column) -> Column:
+    """``struct<labels, rest>``: the numbers in brackets that lead the text after ``n`` equations, shared out over them.
+
+    As many as equations or more: each takes its own; a single one for several
+    equations goes to the last; otherwise the text stays whole.
+    """
+    bare = F.regexp_replace(F.coalesce(tail, F.lit("")), f"^{SPACE}+|{SPACE}+$", "")
+    lead = rf"^((?:{SPACE}*\([0-9]+\){SPACE}*)+)"
+    found = F.regexp_extract_all(F.regexp_extract(bare, lead, 1), F.lit(r"(\([0-9]+\))"), 1)
+    rest = F.regexp_replace(bare, lead, "")
+    none = F.when(n > 0, F.array_repeat(F.lit(None).cast("string"), n.cast("int"))).otherwise(F.array().cast("array<string>"))
+    enough, last = (n > 0) & (F.size(found) >= n), (n > 1) & (F.size(found) == 1)
+    labels = F.when(enough, F.slice(found, 1, F.greatest(n, F.lit(0)).cast("int"))).when(last, F.concat(F.slice(none, 1, F.greatest(n - 1, F.lit(0)).cast("int")), found)).otherwise(none)
+    return F.struct(labels.alias("labels"), F.when(enough | last, rest).otherwise(bare).alias("rest"))

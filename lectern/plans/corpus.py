@@ -152,6 +152,15 @@ SELECT b.doc, coalesce(any_value(g), 0)::BIGINT AS caption_gaps FROM b LEFT JOIN
   coalesce({", ".join(f"lag(CASE WHEN {_cap} THEN text END, {k}) OVER w" for k in (1, 2, 3))}) AS reported FROM b WINDOW w AS (PARTITION BY doc ORDER BY idx)),
   o AS (SELECT doc, idx, {_near('nxt')} AS following, {_near('prv')} AS preceding, reported FROM f)
 SELECT * FROM o WHERE following IS NOT NULL OR preceding IS NOT NULL OR reported IS NOT NULL""",
+    # The walk of an import, pair by pair: from the first image or caption of a chain on, each takes the next.
+    "claimed_captions": f"""WITH RECURSIVE {_blocks}, r AS (SELECT doc, idx, row_number() OVER (PARTITION BY doc ORDER BY idx) AS n,
+    CASE WHEN kind = 'image' THEN 'i' WHEN kind = 'paragraph' AND {_cap} THEN 'c' WHEN kind <> 'paragraph' OR text <> '' THEN 'o' END AS t FROM b),
+  s AS (SELECT doc, idx, n, t, row_number() OVER (PARTITION BY doc ORDER BY idx) AS k FROM r WHERE t IS NOT NULL),
+  l AS (SELECT a.doc, a.idx, a.k, a.t, b.t AS pt, b.idx AS pidx, a.n - b.n AS apart, coalesce(concat(b.t, a.t) IN ('ic', 'ci') AND a.n - b.n <= 3, false) AS linked FROM s a LEFT JOIN s b ON b.doc = a.doc AND b.k = a.k - 1),
+  p AS (SELECT doc, k, false AS taken FROM l WHERE k = 1 UNION ALL SELECT l.doc, l.k, l.linked AND NOT p.taken FROM p JOIN l ON l.doc = p.doc AND l.k = p.k + 1),
+  m AS (SELECT l.*, p.taken, q.taken AS next_taken, o.taken AS before_taken, z.idx AS nidx FROM l JOIN p ON p.doc = l.doc AND p.k = l.k LEFT JOIN p q ON q.doc = l.doc AND q.k = l.k + 1
+    LEFT JOIN p o ON o.doc = l.doc AND o.k = l.k - 1 LEFT JOIN l z ON z.doc = l.doc AND z.k = l.k + 1)
+SELECT doc, idx, CASE WHEN taken THEN pidx WHEN next_taken THEN nidx WHEN pt = 'c' AND apart = 4 AND NOT before_taken THEN pidx END AS caption_idx FROM m WHERE t = 'i'""",
     "section_extent": f"""WITH {_blocks} SELECT doc, idx, last_value(heading_type IGNORE NULLS) OVER w AS section,
   coalesce(idx < min(CASE WHEN heading_type = 'introduction' THEN idx END) OVER (PARTITION BY doc), true) AS in_preamble, count(*) FILTER (style = 'title') OVER w >= 2 AS in_english
 FROM b WINDOW w AS (PARTITION BY doc ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
@@ -183,7 +192,7 @@ SELECT target, count(*) AS formulas, count(s_name) AS with_note, min(coalesce(s_
 FROM lineitem JOIN r ON l_partkey = rid LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_suppkey % 2 = 0 GROUP BY target""",
     "author_contributors": """SELECT c_custkey, 0::BIGINT AS pos, 'Иванов' AS surname, 'А.Б.' AS initials, c_custkey % 2 = 0 AS is_corresponding, 'aff_1' AS affiliations FROM customer
 UNION ALL SELECT c_custkey, 1, concat('Smith', c_custkey::VARCHAR), 'C.', false, 'aff_1' FROM customer""",
-    "image_hints": """WITH r AS (SELECT l_orderkey, (l_suppkey % 3)::VARCHAR AS h, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS o FROM lineitem WHERE l_orderkey % 10 = 0),
+    "image_hints": """WITH r AS (SELECT l_orderkey, (l_suppkey % 3)::VARCHAR AS h, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS o FROM lineitem),
   f AS (SELECT l_orderkey, h, min(o) AS o FROM r GROUP BY 1, 2) SELECT l_orderkey, string_agg(h, '+' ORDER BY o) AS hints FROM f GROUP BY 1""",
     "natural_sort": "SELECT concat('eq', s_suppkey::VARCHAR, '.bin') AS name, row_number() OVER (ORDER BY s_suppkey) AS rank FROM supplier",
     "warning_topk": "SELECT event_type AS type, count(*) AS n, min(event_id) AS first_seen FROM events GROUP BY 1 ORDER BY n DESC, first_seen LIMIT 3",

@@ -95,8 +95,12 @@ def page_blocks(spark, sf_dir):
 
 
 def paste_cleaning(spark, sf_dir):
-    word = F.concat(F.lit('<p class="MsoNormal" style="x:y"><b>a</b> <o:p></o:p><span>'), F.col("c_name"), F.lit('</span></p><!-- x --><p>&nbsp;</p>'))
-    return table(spark, sf_dir, "customer").select("c_custkey", H.cleaned_paste(word).alias("clean"), X.is_word_html(word).alias("word_html"))
+    image = F.when(F.col("c_custkey") % 2 == 0, '<img alt=" x<y " class="my-equation">').otherwise('<img alt="" class="equation">')
+    word = F.concat(
+        F.lit('<!--[if gte mso 9]>\nx<![endif]--><p class="MsoNormal" style="x:y;font-family:Arial"><b>a</b> <o:p>gone</o:p><span>'), F.col("c_name"), F.lit("</span><span> </span></p><!-- x -->"),
+        F.repeat(F.lit("<p>&nbsp;</p>"), (F.col("c_custkey") % 4).cast("int")), image, F.lit('<b style="font-weight:normal">plain</b><w:x>kept</w:x>'),
+    )
+    return table(spark, sf_dir, "customer").select("c_custkey", H.word_html(word).alias("clean"), X.is_word_html(word).alias("word_html"))
 
 
 def formula_scores(spark, sf_dir):
@@ -179,7 +183,8 @@ SELECT (SELECT count(*) FROM g) AS files_ok, (SELECT count(*) FROM m WHERE page_
 WITH b AS (SELECT page_id, regexp_extract_all(html, '(?is)<(?:h[1-6]|p)\b[^>]*>.*?</(?:h[1-6]|p)>') AS l FROM pages), u AS (SELECT page_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS idx FROM b)
 SELECT page_id, idx::BIGINT AS idx, lower(regexp_extract(s, '^<([A-Za-z0-9]+)', 1)) AS tag,
   length(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(s, '(?s)<[^>]*>', '', 'g'), '&nbsp;', ' '), '&#160;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'), '^ | $', '', 'g'))::BIGINT AS n_chars FROM u""",
-    "paste_cleaning": "SELECT c_custkey, concat('<p><strong>a</strong> ', c_name, '</p>') AS clean, true AS word_html FROM customer",
+    "paste_cleaning": """SELECT c_custkey, concat('<p style="x:y;"><b>a</b> <span>', c_name, '</span></p><!-- x -->', repeat('<p>&nbsp;</p>', CASE c_custkey % 4 WHEN 3 THEN 1 ELSE (c_custkey % 4)::INT END),
+  CASE WHEN c_custkey % 2 = 0 THEN '<span class="math-inline" data-latex="x&lt;y">x&lt;y</span>' ELSE '<img alt="" class="equation">' END, 'plainkept') AS clean, true AS word_html FROM customer""",
     "formula_scores": """SELECT l_orderkey, l_linenumber, (l_linenumber % 3 + 1)::BIGINT AS atoms, CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS empty_scripts,
   CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE 0 END AS single FROM lineitem""",
     "labels_and_slugs": r"""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat('(', c_custkey::VARCHAR, ')') END AS label,

@@ -67,6 +67,22 @@ def mtef_accents(spark, sf_dir):
     return decoded(spark, sf_dir, F.lit("06000200"), letter(F.col("a")), F.lit("06000B00"), letter(F.col("b"))).drop("mathml")
 
 
+def mtef_v3(spark, sf_dir):
+    """Version 3: options share a byte with the record's type, characters stand without an options byte."""
+    old = lambda n: F.concat(F.lit("0283"), F.hex((F.lit(97) + n % 26).cast("long")), F.lit("00"))
+    row = lambda *parts: F.concat(F.lit("01"), *parts, F.lit("00"))
+    a, b = old(F.col("a")), old(F.col("b"))
+    data = F.unhex(F.concat(F.lit("0301010300" + "00" + "00"), row(a, F.lit("02862B00"), F.lit("030B0000"), row(b), row(a), F.lit("00")), F.lit("00")))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", L, F.col(M).cast("long").alias("a"), F.col("l_suppkey").cast("long").alias("b"))
+    return rows.withColumn("d", udfs.decode_equation(data)).select("l_orderkey", L, F.col("d.latex").alias("latex"), F.size("d.warnings").alias("n_warnings"))
+
+
+def mtef_skippers(spark, sf_dir):
+    """Rulers, sizes, colours and encodings that carry nothing to show."""
+    skipped = F.lit("07" + "01" + "AABBCC" + "0965" + "1000" + "0964" + "02" + "0500" + "0903" + "07" + "0A" + "13" + "41" + "00" + "0F" + "01")
+    return decoded(spark, sf_dir, skipped, line(letter(F.col("a")), F.lit("0B"), code(0x2B), letter(F.col("b")))).drop("mathml")
+
+
 def mtef_warnings(spark, sf_dir):
     """How often each kind of warning is raised: unknown characters, skipped records, unsupported templates."""
     rows = table(spark, sf_dir, "lineitem").select((F.col(L) % 3).alias("kind"))
@@ -109,7 +125,7 @@ def omml_latex(spark, sf_dir):
     return table(spark, sf_dir, "customer").withColumn("o", udfs.omml(xml)).select("c_custkey", F.col("o.latex").alias("latex"), F.regexp_count("o.mathml", F.lit("<m(i|n|o|text)[ >]")).cast("long").alias("atoms"))
 
 
-QUERIES = {f.__name__: f for f in (mtef_sum, mtef_fraction, mtef_scripts, mtef_templates, mtef_matrix, mtef_accents, mtef_warnings, mtef_coverage, latex_validate, omml_latex)}
+QUERIES = {f.__name__: f for f in (mtef_sum, mtef_fraction, mtef_scripts, mtef_templates, mtef_matrix, mtef_accents, mtef_v3, mtef_skippers, mtef_warnings, mtef_coverage, latex_validate, omml_latex)}
 
 _a, _b = "chr((97 + l_partkey % 26)::INT)", "chr((97 + l_suppkey % 26)::INT)"
 _rows = lambda latex, more="": f"SELECT l_orderkey, l_linenumber, {latex} AS latex{more}, 0 AS n_warnings FROM lineitem"
@@ -125,6 +141,8 @@ ORACLE_SQL = {
     ),
     "mtef_matrix": _rows(f"concat('\\begin{{matrix}}', {_a}, ' & ', {_b}, ' \\\\ ', {_b}, ' & ', {_a}, '\\end{{matrix}}')"),
     "mtef_accents": _rows(f"concat('\\dot{{', {_a}, '}}\\vec{{', {_b}, '}}')"),
+    "mtef_v3": _rows(f"concat({_a}, '+\\frac{{', {_b}, '}}{{', {_a}, '}}')"),
+    "mtef_skippers": _rows(f"concat({_a}, '+', {_b})"),
     "mtef_warnings": """SELECT type, sum(n)::BIGINT AS n FROM (
   SELECT CASE l_linenumber % 3 WHEN 0 THEN 'unknown-char' WHEN 1 THEN 'unknown-record' ELSE 'unknown-template' END AS type, 1 AS n FROM lineitem
   UNION ALL SELECT 'latex-best-effort', 1 FROM lineitem WHERE l_linenumber % 3 = 2) GROUP BY type""",

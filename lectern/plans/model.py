@@ -50,10 +50,17 @@ def jats_export(spark, sf_dir):
 
 
 def html_export(spark, sf_dir):
+    """Pages of a title, marks, formulas, a table with the caption before it, figures and lists."""
+    text = lambda t: F.concat(F.lit('{"type":"text","text":"'), t, F.lit('"}'))
+    even = F.col("c_custkey") % 2 == 0
+    title = F.concat(F.lit('{"type":"heading","attrs":{"level":1},"content":['), text(F.col("c_name")), F.lit("]}"))
     tree = F.concat(
-        F.lit('{"type":"doc","content":[{"type":"heading","attrs":{"level":1},"content":[{"type":"text","text":"'), F.col("c_name"),
-        F.lit('"}]},{"type":"paragraph","content":[{"type":"text","text":"a<b","marks":[{"type":"italic"},{"type":"bold"}]},{"type":"math_inline","attrs":{"latex":"x_'), F.col("c_nationkey"),
-        F.lit('"}}]},{"type":"math_block","attrs":{"latex":"y","label":"(1)"}}]}'),
+        F.lit('{"type":"doc","content":['), F.when(even, title).otherwise(F.concat(F.lit('{"type":"horizontal_rule"},'), title)),
+        F.lit(',{"type":"paragraph","content":[{"type":"text","text":"a<b","marks":[{"type":"italic"},{"type":"bold"}]},{"type":"math_inline","attrs":{"latex":"x_'), F.col("c_nationkey"),
+        F.lit('"}}]},{"type":"math_block","attrs":{"latex":"y","label":"(1)"}},{"type":"paragraph","attrs":{"styleType":"table-caption"},"content":['), text(F.lit("T 1")),
+        F.lit(']},{"type":"table","content":[{"type":"table_row","content":[{"type":"table_header","attrs":{"colspan":2},"content":[{"type":"paragraph","content":['), text(F.col("c_nationkey").cast("string")),
+        F.lit(']}]}]}]},{"type":"figure_block","attrs":{"id":"f"},"content":[{"type":"figure_image","attrs":{"src":"s","title":"t"}},{"type":"figcaption","attrs":{"lang":"en"},"content":['), text(F.lit("Fig")),
+        F.lit(']}]},{"type":"ordered_list","attrs":{"order":3},"content":[{"type":"list_item","content":[{"type":"paragraph","attrs":{"align":"center"},"content":['), text(F.lit("i")), F.lit("]}]}]}]}"),
     )
     page = D.export_html(tree)
     return table(spark, sf_dir, "customer").select("c_custkey", F.regexp_extract(page, "(?s)<main>\n(.*)\n</main>", 1).alias("body"), F.regexp_extract(page, "<title>(.*)</title>", 1).alias("title"))
@@ -129,8 +136,11 @@ SELECT k AS c_custkey, CASE WHEN silver AND more AND k % 16 = 0 THEN 'platinum'
     "jats_export": """SELECT c_custkey, concat('<article article-type="research"><front><article-meta><title-group><article-title>', c_name, '</article-title></title-group><contrib-group><contrib>', c_name,
   '</contrib></contrib-group><abstract>a &lt; b</abstract><kwd-group><kwd>k1</kwd><kwd>', c_custkey::VARCHAR, '</kwd></kwd-group></article-meta></front><body><sec><p>p &amp; q</p></sec></body><back><ref-list><ref>ref ',
   c_custkey::VARCHAR, '</ref></ref-list></back></article>') AS xml FROM customer""",
-    "html_export": r"""SELECT c_custkey, concat('<h1 id="', lower(regexp_replace(c_name, '[^A-Za-z0-9]+', '-', 'g')), '-1">', c_name, '</h1><p><em><strong>a&lt;b</strong></em><span class="math-inline">\(x_', c_nationkey::VARCHAR,
-  '\)</span></p><div class="formula"><div class="formula-body">\[y\]</div><span class="formula-label">(1)</span></div>') AS body, c_name AS title FROM customer""",
+    "html_export": r"""SELECT c_custkey, concat(CASE WHEN c_custkey % 2 = 0 THEN '' ELSE concat('<hr>', chr(10), '<h1 id="', lower(regexp_replace(c_name, '[^A-Za-z0-9]+', '-', 'g')), '-1">', c_name, '</h1>', chr(10)) END,
+  '<p><em><strong>a&lt;b</strong></em><span class="math-inline">\(x_', c_nationkey::VARCHAR, '\)</span></p>', chr(10), '<div class="formula"><div class="formula-body">\[y\]</div><span class="formula-label">(1)</span></div>', chr(10),
+  '<table><caption>T 1</caption><tbody><tr><th colspan="2"><p>', c_nationkey::VARCHAR, '</p></th></tr></tbody></table>', chr(10),
+  '<figure data-schema-v2 class="figure-block" id="f"><img class="figure-block-img" src="s" alt="" title="t"><figcaption class="figure-caption-en" lang="en">Fig</figcaption></figure>', chr(10),
+  '<ol start="3"><li><p style="text-align:center">i</p></li></ol>') AS body, c_name AS title FROM customer""",
     "tree_violations": "SELECT c_custkey, 'figure_block' AS type FROM customer WHERE c_custkey % 5 >= 2",
     "event_sessions": """WITH e AS (SELECT user_id AS doc, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
   s AS (SELECT doc, t, sum(CASE WHEN before IS NULL OR t - before >= 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM e)

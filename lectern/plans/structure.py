@@ -86,8 +86,8 @@ SELECT doc, count(*) AS n, sum(idx)::BIGINT AS total FROM s WHERE NOT (seen = 1
     "merged_captions": f"""WITH d AS ({duck(MERGED)}) SELECT doc, idx, 0 AS part, style_type, CASE WHEN idx % 3 = 0 THEN replace(text, ' Здесь показан опыт', '') ELSE text END AS text FROM d
 UNION ALL SELECT doc, idx, 1, 'body', 'Здесь показан опыт' FROM d WHERE idx % 3 = 0""",
     "table_captions": f"""WITH d AS ({duck(TABLES)}), r AS (SELECT doc, idx, CASE WHEN kind = 'table' THEN 'table' WHEN text = 'Таблица 2' THEN 'number' WHEN text LIKE 'Таблица%' THEN 'caption' ELSE 'other' END AS role FROM d),
-  n AS (SELECT *, lead(role, 1) OVER w AS r1, lead(role, 2) OVER w AS r2, lead(role, 3) OVER w AS r3, lead(idx, 1) OVER w AS i1, lead(idx, 2) OVER w AS i2, lead(idx, 3) OVER w AS i3 FROM r WINDOW w AS (PARTITION BY doc ORDER BY idx))
-SELECT doc, idx, role, CASE WHEN role IN ('table', 'other') THEN NULL WHEN r1 = 'table' THEN i1 WHEN r1 = 'other' THEN NULL WHEN r2 = 'table' THEN i2 WHEN r2 = 'other' THEN NULL WHEN r3 = 'table' THEN i3 END AS of_table FROM n""",
+  n AS (SELECT *, lead(role, 1) OVER w AS r1, lead(role, 2) OVER w AS r2, lead(role, 3) OVER w AS r3, lead(role, 4) OVER w AS r4, lead(idx, 1) OVER w AS i1, lead(idx, 2) OVER w AS i2, lead(idx, 3) OVER w AS i3, lead(idx, 4) OVER w AS i4 FROM r WINDOW w AS (PARTITION BY doc ORDER BY idx))
+SELECT doc, idx, role, CASE WHEN role IN ('table', 'other') THEN NULL WHEN r1 = 'table' THEN i1 WHEN r1 = 'other' THEN NULL WHEN r2 = 'table' THEN i2 WHEN r2 = 'other' THEN NULL WHEN r3 = 'table' THEN i3 WHEN r3 = 'other' THEN NULL WHEN r4 = 'table' THEN i4 END AS of_table FROM n""",
     "placed_figures": f"""WITH b AS ({duck(BLOCKS)}), g AS (SELECT doc, count(*) FILTER (kind = 'image') AS images, count(*) FILTER (kind = 'paragraph' AND (text LIKE 'Рис.%' OR text LIKE 'Fig.%')) AS captions FROM b GROUP BY doc)
 SELECT doc, images, captions, captions AS distinct_captions FROM g WHERE images + captions > 0""",
     "uppercase_headings": "SELECT c_custkey, c_custkey % 3 <> 2 AS heading FROM customer",

@@ -17,9 +17,3 @@ REWRITES = [
 def test_rewrites(spark):
     rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(REWRITES)], "i int, html string").select("i", H.word_html(F.col("html")).alias("out")).collect()
     assert [r.out for r in sorted(rows)] == [want for _, want in REWRITES]
-
-
-def test_formulas_and_plain_text_outlive_the_reduction(spark):
-    text = '<p class="MsoNormal"><b style="font-weight:normal">a</b> <b>c</b> <img alt="x" class="equation"></p>'
-    row = spark.createDataFrame([(text,)], "html string").select(H.cleaned_paste(F.col("html")).alias("out")).first()
-    assert row.out == '<p>a <strong>c</strong> <span class="math-inline" data-latex="x">x</span></p>'
