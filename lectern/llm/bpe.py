@@ -62,7 +62,7 @@ class Transducer:
     #: Liveness looks at each longer token if there are so few; else it takes one of them to fit, which is safe.
     FEW = 4
 
-    def __init__(self, ranks: dict[bytes, int], max_moves: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], max_moves: int = 100_000):
         self.ranks, self.max_moves = ranks, max_moves
         self.token = {v: k for k, v in ranks.items()}
         self.sizes = {v: len(k) for k, v in ranks.items()}
@@ -186,7 +186,7 @@ class Transducer:
         for part, until in self.spine(left, True):
             key = (part, start)
             if (rivals := self.rivals.get(key)) is None:
-                if len(self.rivals) > self.max_moves:
+                if len(self.rivals) >= self.max_moves:
                     self.rivals.clear()
                 whole = part + start
                 ranks = [self.ranks.get(whole[:i], -1) for i in range(len(part) + 1, len(whole) + 1)]
@@ -224,7 +224,7 @@ class Transducer:
 class Codec:
     """Splits texts by ``pattern`` and runs each piece through the transducer."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cached_pieces: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached_pieces: int = 120_000):
         self.machine = Transducer(ranks)
         self.pieces = regex.compile(pattern)
         self.bytes_of = [b""] * (max(ranks.values()) + 1)

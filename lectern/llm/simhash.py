@@ -267,9 +267,13 @@ def grouped(batches):
 def one_row_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is in ``kept``; of rows repeated under one id the one with the smallest text, then the smallest other columns."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    order = F.struct("text", F.to_json(F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(others)])) if others else F.lit(""))
-    row = F.min_by(F.struct(*docs.columns), order).alias("row")
-    return docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(row).select("row.*")
+    whole = F.struct("text", "doc_id", *others)
+    if any(kind in docs.schema.simpleString() for kind in ("map<", "variant")):  # these have no order of their own
+        row = F.min_by(whole, F.struct("text", F.to_json(F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(others)]))))
+    else:
+        row = F.min(whole)
+    found = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(row.alias("row"))
+    return found.select("row.*").select(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:

@@ -43,6 +43,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.llm.workers import release
+
 MAX_TOXIC, MAX_CLEAN = 1_500, 3_000
 #: Strings that the machine learns from: toxic ones, those of them also put in with changes; clean ones that are frequent, random, and the worst of each of two rounds.
 MAX_STRINGS, MAX_WIDENED, MAX_FREQUENT, MAX_RANDOM, MAX_HARDEST = 2_000, 600, 1_500, 2_500, 1_000
@@ -52,6 +54,8 @@ LONG, STEP = 24, 12
 GRAMS = (4, 5, 6)
 FOLDS = 5
 MAX_SCORED = 150_000
+#: Texts that are scored at a time.
+SLICE = 1_000
 #: The margin of a text without strings.
 LOWEST = -2.0
 #: How many letter runs may explain one toxic document.
@@ -377,8 +381,11 @@ def scored(docs: DataFrame, model: Model | float, column: str = "score") -> Data
     def run(batches):
         scorer = Scorer(model)
         for batch in batches:
-            scores = scorer(batch.column(names.index("text")).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*names, column])
+            texts = batch.column(names.index("text"))
+            scores = [scorer(texts.slice(at, SLICE).to_pylist()) for at in range(0, len(texts), SLICE)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores or [np.zeros(0)]), pa.float64())], names=[*names, column])
+        del scorer
+        release()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
