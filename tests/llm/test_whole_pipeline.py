@@ -63,3 +63,39 @@ def test_components_equal_enumeration():
     texts = [" ".join(edited([f"x{i}" for i in range(60)], rng.randrange(3), rng)) for _ in range(60)]
     root = near_texts.components([near_texts.shingles(t) for t in texts])
     assert sorted(set(root)) == kept(list(enumerate(texts)))
+
+
+def test_result_does_not_depend_on_blocks(spark, make_docs):
+    """Groups of many blocks: a dense one, chains whose neighbours alone are similar, and repeated rows."""
+    rng, rows = random.Random(5), []
+    base = [f"d{i}" for i in range(80)]
+    rows += [(i, " ".join(edited(base, 1, rng))) for i in range(100, 140)]
+    for chain in range(4):
+        words = [f"c{chain}x{i}" for i in range(90)]
+        for step in range(25):
+            rows.append((200 + 100 * chain + step, " ".join(words)))
+            words = [*words[5:], *(f"c{chain}y{step}z{k}" for k in range(5))]
+    rows += [rows[3], (None, "x")]
+    rng.shuffle(rows)
+    want = kept([r for r in dict(rows).items() if r[0] is not None])
+    for weight in (150, 2_000, near_texts.WEIGHT):
+        got = near_texts.keep_one(make_docs(*rows), weight).select("doc_id").collect()
+        assert sorted(r.doc_id for r in got if r.doc_id is not None) == want
+
+
+def lowest(pairs, n):
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_links_equal_enumeration():
+    """All against all, and the first twenty against the rest."""
+    rng = random.Random(9)
+    texts = [" ".join(edited([f"x{i}" for i in range(60)], rng.randrange(3), rng)) for _ in range(50)]
+    sets, sim = [near_texts.shingles(t) for t in texts], [plain(t) for t in texts]
+    similar = [(i, j) for i, j in combinations(range(50), 2) if 5 * len(sim[i] & sim[j]) >= 4 * len(sim[i] | sim[j])]
+    for first, pairs in ((50, similar), (20, [(i, j) for i, j in similar if i < 20 <= j])):
+        assert lowest(near_texts.links(sets, list(range(50)), first), 50) == lowest(pairs, 50)
