@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.functions.bound import let
 from lectern.functions.jsregex import FOLD, RIGHT, SPACE
 from lectern.functions.typography import collapse_white_space
 from lectern.operators.captions import running
@@ -31,10 +32,16 @@ def parse_authors(raw: Column) -> Column:
             bare = F.regexp_replace(bare, r"([А-ЯЁа-яA-Za-z])\s*\.\s*([А-ЯЁа-яA-Za-z])\s*\.", "$1.$2.")
         two = rf"^({CAPITAL}\.{SPACE}*{CAPITAL}?\.{SPACE}*)(.+)$"
         one = rf"^({CAPITAL}\.{SPACE}*)(.+)$"
-        pick = lambda i: F.when(bare.rlike(two), F.regexp_extract(bare, two, i)).otherwise(F.regexp_extract(bare, one, i))
-        initials, rest = F.regexp_replace(pick(1), f"{SPACE}+", ""), collapse_white_space(pick(2))
-        surname = F.regexp_replace(F.element_at(F.split(rest, f"{SPACE}+"), 1), "[,;]+$", "")
-        return F.struct(F.concat_ws(" ", initials, rest).alias("full_name"), initials.alias("initials"), surname.alias("surname"), starred.alias("starred"))
+
+        def cut(bare: Column) -> Column:
+            pick = lambda pattern: F.struct(F.regexp_replace(F.regexp_extract(bare, pattern, 1), f"{SPACE}+", "").alias("initials"), collapse_white_space(F.regexp_extract(bare, pattern, 2)).alias("rest"))
+            return F.when(bare.rlike(two), pick(two)).otherwise(pick(one))
+
+        def named(found: Column) -> Column:
+            surname = F.regexp_replace(F.element_at(F.split(found["rest"], f"{SPACE}+"), 1), "[,;]+$", "")
+            return F.struct(F.concat_ws(" ", found["initials"], found["rest"]).alias("full_name"), found["initials"].alias("initials"), surname.alias("surname"), starred.alias("starred"))
+
+        return let(let(bare, cut), named)
 
     return F.filter(F.transform(parts, author), lambda a: a["initials"] != "")
 
@@ -52,16 +59,17 @@ def contributors(authors: Column, has_affiliations: Column) -> Column:
 
 def with_email(authors: Column, email: Column, starred_paragraph: Column) -> Column:
     """The address goes to the only author, or to the only starred one if the paragraph is starred; else to nobody."""
-    n, stars = F.size(authors), F.size(F.filter(authors, lambda a: a["starred"]))
-    single = (n == 1) & (email != "")
-    marked = starred_paragraph & (stars == 1) & (email != "")
-    return F.transform(
-        authors,
-        lambda a: F.struct(
-            a["full_name"].alias("full_name"), a["initials"].alias("initials"), a["surname"].alias("surname"), (a["starred"] | single).alias("starred"),
-            F.when(single | (marked & a["starred"]), email).otherwise("").alias("email"),
-        ),
-    )
+
+    def given(authors: Column) -> Column:
+        n, stars = F.size(authors), F.size(F.filter(authors, lambda a: a["starred"]))
+        owner = F.struct(((n == 1) & (email != "")).alias("single"), (starred_paragraph & (stars == 1) & (email != "")).alias("marked"))
+        each = lambda owner, a: F.struct(
+            a["full_name"].alias("full_name"), a["initials"].alias("initials"), a["surname"].alias("surname"), (a["starred"] | owner["single"]).alias("starred"),
+            F.when(owner["single"] | (owner["marked"] & a["starred"]), email).otherwise("").alias("email"),
+        )
+        return let(owner, lambda owner: F.transform(authors, lambda a: each(owner, a)))
+
+    return let(authors, given)
 
 
 def split_abstract(text: Column) -> Column:

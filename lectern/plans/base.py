@@ -20,3 +20,8 @@ def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 def duck(sql: str) -> str:
     """The same SQL for an engine that knows the tables by name."""
     return re.sub(r"\{(\w+)\}", r"\1", sql)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt evenly over the tasks of a shuffle: a file of one row group is read by one task, which would do all the work of its rows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
