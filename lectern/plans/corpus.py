@@ -6,7 +6,7 @@ from pyspark.sql.window import Window as W
 from lectern.functions import text as X
 from lectern.operators import captions as C
 from lectern.operators import corpus
-from lectern.plans.base import derived, duck, table
+from lectern.plans.base import derived, duck, spread, table
 
 # Paragraphs of invented documents: one per order, a document per customer.
 BLOCKS = """
@@ -97,7 +97,7 @@ def author_contributors(spark, sf_dir):
     raw = F.concat(F.lit("А. Б. Иванов"), F.when(F.col("c_custkey") % 2 == 0, "*").otherwise(""), F.lit(", C. Smith"), F.col("c_custkey"))
     from lectern.operators.metadata import contributors, parse_authors
 
-    authors = table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(contributors(parse_authors(raw), F.lit(True))).alias("pos", "a"))
+    authors = spread(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", F.posexplode(contributors(parse_authors(raw), F.lit(True))).alias("pos", "a"))
     return authors.select("c_custkey", F.col("pos").cast("long").alias("pos"), "a.surname", "a.initials", "a.is_corresponding", F.array_join("a.affiliation_ids", ",").alias("affiliations"))
 
 
