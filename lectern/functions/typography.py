@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions.bound import let
 from lectern.functions.jsregex import FOLD, LEFT, SPACE
 
 NBSP, EN_DASH, EM_DASH = "\u00a0", "–", "—"
@@ -99,14 +100,26 @@ HELD = "\ue000"
 def imported_markup(html: Column) -> Column:
     """What the inside of a paragraph becomes on import: its text nodes, their edges and the blanks across tags; formulas and images stay."""
     held = F.regexp_extract_all(html, F.lit(PROTECTED), F.lit(0))
-    open_html = F.regexp_replace(html, PROTECTED, HELD)
-    tags = F.regexp_extract_all(open_html, F.lit("(<[^>]+>)"), 1)
-    texts = F.transform(F.split(open_html, "<[^>]+>"), imported_text)
-    # The first text that is not empty loses its leading blanks, the last one those at its end.
-    solid = F.filter(F.sequence(F.lit(0), F.size(texts) - 1), lambda i: F.get(texts, i) != "")
-    first, last = F.get(solid, F.lit(0)), F.try_element_at(solid, F.lit(-1))
-    trimmed = F.transform(texts, lambda t, i: F.when(i == first, F.regexp_replace(t, "^[ \t]+", "")).otherwise(t))
-    trimmed = F.transform(trimmed, lambda t, i: F.when(i == last, F.regexp_replace(t, "[ \t]+$", "")).otherwise(t))
+
+    def passed(open_html: Column) -> Column:
+        tags = F.regexp_extract_all(open_html, F.lit("(<[^>]+>)"), 1)
+        texts = let(F.transform(F.split(open_html, "<[^>]+>"), imported_text), across_tags)
+        return F.array_join(F.zip_with(texts, tags, lambda t, tag: F.concat(t, F.coalesce(tag, F.lit("")))), "")
+
+    parts = F.split(let(F.regexp_replace(html, PROTECTED, HELD), passed), HELD)
+    return F.array_join(F.zip_with(parts, held, lambda part, own: F.concat(part, F.coalesce(own, F.lit("")))), "")
+
+
+def across_tags(texts: Column) -> Column:
+    """The texts between tags without blanks at the edges of the whole, and without those that double across a tag."""
+    solid = F.filter(F.transform(texts, lambda t, i: F.when(t != "", i)), lambda i: i.isNotNull())
+    ends = let(solid, lambda solid: F.struct(F.get(solid, F.lit(0)).alias("first"), F.try_element_at(solid, F.lit(-1)).alias("last")))
+
+    def trimmed(ends: Column) -> Column:
+        # The first text that is not empty loses its leading blanks, the last one those at its end.
+        lead = lambda t, i: F.when(i == ends["first"], F.regexp_replace(t, "^[ \t]+", "")).otherwise(t)
+        tail = lambda t, i: F.when(i == ends["last"], F.regexp_replace(t, "[ \t]+$", "")).otherwise(t)
+        return F.transform(F.transform(texts, lead), tail)
 
     def joined(done: Column, text: Column) -> Column:
         before = F.try_element_at(done, F.lit(-1))
@@ -115,10 +128,7 @@ def imported_markup(html: Column) -> Column:
         one = F.when(F.size(done) == 0, bare).when(after_blank, F.regexp_replace(bare, "^[ \t]+", "")).otherwise(F.regexp_replace(bare, "^[ \t]{2,}", " "))
         return F.array_append(done, F.when(text == "", text).otherwise(one))
 
-    texts = F.when(F.size(solid) > 0, F.aggregate(trimmed, F.array().cast("array<string>"), joined)).otherwise(texts)
-    whole = F.array_join(F.zip_with(texts, tags, lambda t, tag: F.concat(t, F.coalesce(tag, F.lit("")))), "")
-    parts = F.split(whole, HELD)
-    return F.array_join(F.zip_with(parts, held, lambda part, own: F.concat(part, F.coalesce(own, F.lit("")))), "")
+    return F.aggregate(let(ends, trimmed), F.array().cast("array<string>"), joined)
 
 
 def plain_paragraph(inner: Column) -> Column:

@@ -133,7 +133,7 @@ def imported_markup(spark, sf_dir):
     """Blanks at the edges of text nodes and across tags; formulas and images keep theirs."""
     gap = F.when(F.col("c_custkey") % 2 == 0, " ").otherwise("")
     html = F.concat(F.lit("  foo"), gap, F.lit("<b>  x</b> , <i> "), F.col("c_nationkey").cast("string"), F.lit('</i><span class="math-inline" data-latex="p  q">p  q</span> <img alt="a  ,b"> end  '))
-    return table(spark, sf_dir, "customer").select("c_custkey", Y.imported_markup(html).alias("html"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey").select("c_custkey", Y.imported_markup(html).alias("html"))
 
 
 QUERIES = {
