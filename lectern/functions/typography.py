@@ -23,12 +23,13 @@ def space_before_punctuation(text: Column) -> Column:
 
 def en_dash_to_em_dash(text: Column) -> Column:
     """Every en dash but those of digit ranges."""
-    return F.regexp_replace(text, rf"(?<![0-9]{SPACE}?){EN_DASH}(?!{SPACE}?[0-9])", EM_DASH)
+    return F.regexp_replace(text, rf"{EN_DASH}(?<![0-9]{SPACE}?{EN_DASH})(?!{SPACE}?[0-9])", EM_DASH)
 
 
 def hanging_prepositions(text: Column) -> Column:
-    russian = F.regexp_replace(text, rf"{FOLD}(?<![\p{{L}}\p{{M}}])({RU_PREPOSITIONS}){SPACE}", f"$1{NBSP}")
-    return F.regexp_replace(russian, rf"{FOLD}{LEFT}({EN_PREPOSITIONS}){SPACE}", f"$1{NBSP}")
+    # What can stand there is looked at before the list of words, which is dear to try at every character.
+    russian = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{M}}])(?=\p{{L}}{{1,3}}+{SPACE})((?iu:{RU_PREPOSITIONS})){SPACE}", f"$1{NBSP}")
+    return F.regexp_replace(russian, rf"{FOLD}(?=[abiot]){LEFT}({EN_PREPOSITIONS}){SPACE}", f"$1{NBSP}")
 
 
 def collapse_spaces(text: Column) -> Column:
@@ -87,9 +88,9 @@ def initials(text: Column) -> Column:
 
 
 def imported_text(text: Column) -> Column:
-    """What a text node becomes on import."""
+    """What a text node becomes on import: ``normalize``, whose rules for blanks find nothing after those of the import, and initials."""
     blanks = F.regexp_replace(text, r"[ \t]{2,}", " ")
-    return initials(normalize(F.regexp_replace(blanks, rf"[ \t]+({PUNCTUATION})", "$1")))
+    return initials(hanging_prepositions(en_dash_to_em_dash(F.regexp_replace(blanks, rf"[ \t]+({PUNCTUATION})", "$1"))))
 
 
 #: Formulas and images, which typography leaves alone, and the character that stands for one meanwhile.

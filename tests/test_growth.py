@@ -16,13 +16,18 @@ def physical(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-@pytest.mark.parametrize(("name", "work", "most"), [("author_email", "regexp_replace", 23), ("author_contributors", "regexp_replace", 18), ("imported_markup", "regexp_replace", 15)])
+@pytest.mark.parametrize(("name", "work", "most"), [("author_email", "regexp_replace", 23), ("author_contributors", "regexp_replace", 18), ("imported_markup", "regexp_replace", 15),
+    ])
 def test_work_is_dealt_and_done_once(spark, name, work, most):
     above, shuffle, below = physical(spark, name).rpartition("REPARTITION_BY_NUM")
     assert shuffle and work in above and work not in below
     assert above.count(work) <= most
 
 
+def test_import_passes_over_a_text_seven_times(spark):
+    assert physical(spark, "typography_imported").count("regexp_replace") == 7
+
+
 def test_authors_of_odd_lines(spark):
     lines = [(0, None), (1, ""), (2, "nobody, , *"), (3, "А . Б . Иванов**"), (4, "C. Smith;, Ё.Ы.Я Я"), (5, "A. B*, C. D")]
     authors = metadata.with_email(metadata.parse_authors(F.col("t")), F.lit("a@b"), F.lit(True))
