@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import udfs
 from lectern.operators import quality
-from lectern.plans.base import table
+from lectern.plans.base import spread, table
 
 HEAD = "050100070054455354" + "0000"
 L, M = "l_linenumber", "l_partkey"
@@ -122,7 +122,7 @@ def omml_latex(spark, sf_dir):
     rows = el("d", el("dPr", val("begChr", "{"), val("endChr", "")), el("e", el("eqArr", el("e", run(a), run(F.lit("=")), run(b)), el("e", run(b), run(F.lit("≤")), run(a)))))
     accent = el("acc", el("accPr", val("chr", "→")), el("e", run(a)))
     xml = F.concat(F.lit('<m:oMath xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math">'), fraction, script, total, accent, rows, F.lit("</m:oMath>"))
-    return table(spark, sf_dir, "customer").withColumn("o", udfs.omml(xml)).select("c_custkey", F.col("o.latex").alias("latex"), F.regexp_count("o.mathml", F.lit("<m(i|n|o|text)[ >]")).cast("long").alias("atoms"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey").withColumn("o", udfs.omml(xml)).select("c_custkey", F.col("o.latex").alias("latex"), F.regexp_count("o.mathml", F.lit("<m(i|n|o|text)[ >]")).cast("long").alias("atoms"))
 
 
 QUERIES = {f.__name__: f for f in (mtef_sum, mtef_fraction, mtef_scripts, mtef_templates, mtef_matrix, mtef_accents, mtef_v3, mtef_skippers, mtef_warnings, mtef_coverage, latex_validate, omml_latex)}
