@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.bound import let
 from lectern.functions.jsregex import SPACE
 from lectern.functions.typography import collapse_white_space
 
@@ -90,11 +91,15 @@ def equation_images(html: Column) -> Column:
         alt = F.regexp_replace(F.regexp_extract(image, EQUATION_IMAGE, 1), f"^{SPACE}+|{SPACE}+$", "")
         for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
             alt = F.replace(alt, F.lit(char), F.lit(entity))
-        return F.when(alt == "", image).otherwise(F.concat(F.lit('<span class="math-inline" data-latex="'), alt, F.lit('">'), alt, F.lit("</span>")))
+        span = lambda alt: F.concat(F.lit('<span class="math-inline" data-latex="'), alt, F.lit('">'), alt, F.lit("</span>"))
+        return let(alt, lambda alt: F.when(alt == "", image).otherwise(span(alt)))
 
-    images = F.transform(F.regexp_extract_all(html, F.lit(EQUATION_IMAGE), 0), formula)
-    between = F.split(html, EQUATION_IMAGE)
-    return F.concat(between[0], F.array_join(F.zip_with(images, F.slice(between, 2, F.size(images)), lambda image, after: F.concat(image, after)), ""))
+    def joined(html: Column) -> Column:
+        images, between = F.transform(F.regexp_extract_all(html, F.lit(EQUATION_IMAGE), 0), formula), F.split(html, EQUATION_IMAGE)
+        pieces = F.zip_with(F.concat(F.array(F.lit("")), images), between, lambda image, after: F.concat(image, after))
+        return F.array_join(pieces, "")
+
+    return let(html, joined)
 
 
 def word_html(html: Column) -> Column:

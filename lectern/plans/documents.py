@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lectern.functions import html as H
 from lectern.functions import text as X
 from lectern.operators import corpus
-from lectern.plans.base import derived, duck, table
+from lectern.plans.base import derived, duck, spread, table
 
 HEADINGS = """
 SELECT l_orderkey AS k, l_linenumber AS n, concat(CASE l_partkey % 3 WHEN 0 THEN '1. ' WHEN 1 THEN '2.3) ' ELSE '' END,
@@ -100,7 +100,7 @@ def paste_cleaning(spark, sf_dir):
         F.lit('<!--[if gte mso 9]>\nx<![endif]--><p class="MsoNormal" style="x:y;font-family:Arial"><b>a</b> <o:p>gone</o:p><span>'), F.col("c_name"), F.lit("</span><span> </span></p><!-- x -->"),
         F.repeat(F.lit("<p>&nbsp;</p>"), (F.col("c_custkey") % 4).cast("int")), image, F.lit('<b style="font-weight:normal">plain</b><w:x>kept</w:x>'),
     )
-    return table(spark, sf_dir, "customer").select("c_custkey", H.word_html(word).alias("clean"), X.is_word_html(word).alias("word_html"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey").select("c_custkey", H.word_html(word).alias("clean"), X.is_word_html(word).alias("word_html"))
 
 
 def formula_scores(spark, sf_dir):
