@@ -102,8 +102,13 @@ def nodes(df: DataFrame, key: str, tree: str) -> DataFrame:
 
 def violations(rows: DataFrame, key: str) -> DataFrame:
     """Nodes whose children the grammar does not allow: ``key, node_id, type, children``."""
-    kids = rows.where("parent_id IS NOT NULL").groupBy(key, F.col("parent_id").alias("node_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "type"))), lambda s: s["type"]), ",").alias("children"))
-    joined = rows.select(key, "node_id", "type").join(kids, [key, "node_id"], "left").withColumn("children", F.coalesce("children", F.lit("")))
+    # Each row once as itself and once as a child, so that trees are read once and nodes meet their children without a join.
+    own, kid = F.struct("type"), F.struct("ord", "type")
+    none = lambda of: F.when(F.lit(False), of)
+    roles = F.array(F.struct(F.col("node_id"), own.alias("own"), none(kid).alias("kid")), F.struct(F.col("parent_id").alias("node_id"), none(own).alias("own"), kid.alias("kid")))
+    children = F.array_join(F.transform(F.array_sort(F.collect_list("kid")), lambda s: s["type"]), ",").alias("children")
+    met = rows.select(key, F.inline(roles)).where("node_id IS NOT NULL").groupBy(key, "node_id").agg(F.collect_list("own").alias("own"), children)
+    joined = met.select(key, "node_id", F.inline("own"), "children")
     wrong = F.lit(False)
     for kind, pattern in GRAMMAR.items():
         wrong = wrong | ((F.col("type") == kind) & ~F.col("children").rlike(f"^{pattern}$"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators import documents as D
-from lectern.plans.base import derived, duck, table
+from lectern.plans.base import derived, duck, spread, table
 from lectern.streaming.edits import latest_state, save_points
 
 ITEMS = """
@@ -70,7 +70,7 @@ def tree_violations(spark, sf_dir):
     """Trees of a figure with as many captions as the key says; more than two are too many."""
     captions = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("c_custkey") % 5).cast("int")), lambda i: F.lit('{"type":"figcaption"}')), ",")
     tree = F.concat(F.lit('{"type":"doc","content":[{"type":"figure_block","content":[{"type":"figure_image"},'), captions, F.lit("]}]}"))
-    rows = D.nodes(table(spark, sf_dir, "customer").select("c_custkey", tree.alias("tree")), "c_custkey", "tree")
+    rows = D.nodes(spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select("c_custkey", tree.alias("tree")), "c_custkey", "tree")
     return D.violations(rows, "c_custkey").select("c_custkey", "type")
 
 
