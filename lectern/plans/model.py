@@ -63,7 +63,9 @@ def html_export(spark, sf_dir):
         F.lit(']}]},{"type":"ordered_list","attrs":{"order":3},"content":[{"type":"list_item","content":[{"type":"paragraph","attrs":{"align":"center"},"content":['), text(F.lit("i")), F.lit("]}]}]}]}"),
     )
     page = D.export_html(tree)
-    return table(spark, sf_dir, "customer").select("c_custkey", F.regexp_extract(page, "(?s)<main>\n(.*)\n</main>", 1).alias("body"), F.regexp_extract(page, "<title>(.*)</title>", 1).alias("title"))
+    pages = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), "c_custkey").select("c_custkey", page.alias("page"))
+    page = F.col("page")
+    return pages.select("c_custkey", F.regexp_extract(page, "(?s)<main>\n(.*)\n</main>", 1).alias("body"), F.regexp_extract(page, "<title>(.*)</title>", 1).alias("title"))
 
 
 def tree_violations(spark, sf_dir):

@@ -17,7 +17,7 @@ def physical(spark, name):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 @pytest.mark.parametrize(("name", "work", "most"), [("author_email", "regexp_replace", 23), ("author_contributors", "regexp_replace", 18), ("imported_markup", "regexp_replace", 15),
-    ("omml_latex", "ArrowEvalPython", 1), ("paste_cleaning", "regexp_replace", 18), ("tree_violations", "ArrowEvalPython", 1)])
+    ("omml_latex", "ArrowEvalPython", 1), ("paste_cleaning", "regexp_replace", 18), ("tree_violations", "ArrowEvalPython", 1), ("html_export", "ArrowEvalPython", 1)])
 def test_work_is_dealt_and_done_once(spark, name, work, most):
     above, shuffle, below = physical(spark, name).rpartition("REPARTITION_BY_NUM")
     assert shuffle and work in above and work not in below
