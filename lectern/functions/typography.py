@@ -61,19 +61,21 @@ def unit_spaces(text: Column) -> Column:
 def russian_quotes(text: Column) -> Column:
     """Straight double quotes turned, one after the other, into opening and closing guillemets and low quotes."""
 
-    def after(done: Column, letter: Column) -> Column:
-        inner = F.substring_index(done, "«", -1)
+    def mark(done: Column, inner: Column) -> Column:
         low = F.length(inner) - F.length(F.replace(inner, F.lit("„"), F.lit("")))
         straight = F.length(inner) - F.length(F.replace(inner, F.lit('"'), F.lit("")))
-        mark = (
+        return (
             F.when(~F.contains(done, F.lit("«")) | F.contains(inner, F.lit("»")), "«")
             .when(low > straight, '"')
             .when((low == straight) & (low == 0) & (F.length(inner) == 0), "„")
             .otherwise("»")
         )
-        return F.concat(done, F.when(letter == '"', mark).otherwise(letter))
 
-    return F.aggregate(F.split(text, ""), F.lit(""), after)
+    def after(done: Column, piece: Column) -> Column:
+        return F.concat(done, let(F.substring_index(done, "«", -1), lambda inner: mark(done, inner)), piece)
+
+    # From one straight quote to the next: nothing changes between them.
+    return let(F.split(text, '"'), lambda pieces: F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), F.get(pieces, F.lit(0)), after))
 
 
 def collapse_white_space(text: Column) -> Column:

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import typography
 from lectern.operators import metadata
 from lectern.plans import registry
 
@@ -28,6 +29,14 @@ def test_import_passes_over_a_text_seven_times(spark):
     assert physical(spark, "typography_imported").count("regexp_replace") == 7
 
 
+def test_quotes_are_turned_from_one_to_the_next(spark):
+    """Steps of the fold are the straight quotes, not the letters."""
+    assert 'split(concat(' in (plan := physical(spark, "typography_quotes")) and plan.count('), ", -1)') == 1
+    texts = [None, "", 'a', '"', '""', '"a "b" c"', '«"a" b" "', '"a" "b"']
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", typography.russian_quotes(F.col("t")).alias("q")).collect()
+    assert [r.q for r in sorted(rows)] == [None, "", "a", "«", "«„", "«a »b« c»", "«„a\" b» «", "«a» «b»"]
+
+
 def test_authors_of_odd_lines(spark):
     lines = [(0, None), (1, ""), (2, "nobody, , *"), (3, "А . Б . Иванов**"), (4, "C. Smith;, Ё.Ы.Я Я"), (5, "A. B*, C. D")]
     authors = metadata.with_email(metadata.parse_authors(F.col("t")), F.lit("a@b"), F.lit(True))
