@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lectern.functions import html as H
 from lectern.functions import text as X
@@ -42,13 +43,18 @@ def figures(df: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def figure_scores(df: DataFrame, key: str, html: str) -> DataFrame:
-    from lectern.operators.captions import caption_gaps
+    """Counts of figures and of numbers left out between their captions; markup is searched once, and one shuffle serves window and counts."""
+    from lectern.operators.captions import ordered
 
-    found = figures(df, key, html)
+    found = figures(df, key, html).withColumns({"n": X.caption_number(F.col("caption"))})
     short = (F.length("caption") > 0) & (F.length("caption") <= TRUNCATED) & X.is_caption_of_block(F.col("caption"))
-    counts = found.groupBy(key).agg(F.count("*").alias("figure_count"), F.count_if(short).alias("figure_caption_truncated_count"), F.count_if("placeholder").alias("figure_placeholder_count"))
-    gaps = caption_gaps(found, key, "idx", "caption").withColumnRenamed("caption_gaps", "figure_caption_gap_count")
-    return df.select(key).join(counts, key, "left").join(gaps, key, "left").na.fill(0)
+    before = F.last("n", ignorenulls=True).over(ordered(key, "idx").rowsBetween(W.unboundedPreceding, -1))
+    rows = found.select(key, "idx", "placeholder", "n", short.alias("short")).withColumn("jump", F.when(F.col("n").isNotNull(), F.greatest(F.col("n") - before - 1, F.lit(0))))
+    counts = rows.groupBy(key).agg(
+        F.count("*").alias("figure_count"), F.count_if("short").alias("figure_caption_truncated_count"), F.count_if("placeholder").alias("figure_placeholder_count"),
+        F.coalesce(F.sum("jump"), F.lit(0)).alias("figure_caption_gap_count"),
+    )
+    return df.select(key).join(counts, key, "left").na.fill(0)
 
 
 def untyped_headings(html: Column) -> Column:

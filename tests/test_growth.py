@@ -37,6 +37,10 @@ def test_quotes_are_turned_from_one_to_the_next(spark):
     assert [r.q for r in sorted(rows)] == [None, "", "a", "«", "«„", "«a »b« c»", "«„a\" b» «", "«a» «b»"]
 
 
+def test_figures_are_searched_once(spark):
+    assert physical(spark, "figure_scores").count("Generate posexplode") == 1
+
+
 def test_authors_of_odd_lines(spark):
     lines = [(0, None), (1, ""), (2, "nobody, , *"), (3, "А . Б . Иванов**"), (4, "C. Smith;, Ё.Ы.Я Я"), (5, "A. B*, C. D")]
     authors = metadata.with_email(metadata.parse_authors(F.col("t")), F.lit("a@b"), F.lit(True))
